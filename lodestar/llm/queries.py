@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import history
+from . import history, leakage, quality
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -18,5 +18,24 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return a.unionByName(b)
 
 
-QUERIES = {"p1_found": p1_found}
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "goldset", "item_id", "passage")
+    return leakage.contained_items(docs, items).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that hold each test item."""
+    docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "goldset", "item_id", "passage")
+    return leakage.contained_items(docs, items).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return quality.not_prose(table(spark, base, "documents", "doc_id", "text"))
+
+
+def p10_statistics(spark: SparkSession, base: str) -> DataFrame:
+    return quality.verdicts(table(spark, base, "documents", "doc_id", "text").distinct())
+
+
+QUERIES = {"p1_found": p1_found, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
