@@ -22,8 +22,8 @@ def _nfc(values: pd.Series) -> pd.Series:
 
 
 def nfc(column: Column) -> Column:
-    """NFC form; plain ASCII never leaves the JVM as a value."""
-    other = F.when(column.rlike("[^\\x00-\\x7F]"), column)
+    """NFC form; only texts with characters that NFC may change leave the JVM as values."""
+    other = F.when(column.rlike(r"[^\x00-\u02FF\u2010-\u2027\u2030-\u205E\u20AC\uFEFF]"), column)
     return F.coalesce(_nfc(other), column)
 
 
