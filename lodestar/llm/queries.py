@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import history, leakage, quality
+from . import history, leakage, origin, quality
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -18,6 +18,19 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _file_chunks(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "chunks", "repo_id", "path", "start_byte", "content")
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return origin.file_origins(_file_chunks(spark, base)).select("repo_id", "path").distinct()
+
+
+def p6_origins(spark: SparkSession, base: str) -> DataFrame:
+    rows = origin.file_origins(_file_chunks(spark, base))
+    return rows.groupBy("repo_id", "origin").agg(F.count("*").alias("n_files"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "goldset", "item_id", "passage")
     return leakage.contained_items(docs, items).select("doc_id", "item_id")
@@ -37,5 +50,5 @@ def p10_statistics(spark: SparkSession, base: str) -> DataFrame:
     return quality.verdicts(table(spark, base, "documents", "doc_id", "text").distinct())
 
 
-QUERIES = {"p1_found": p1_found, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_origins": p6_origins, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
