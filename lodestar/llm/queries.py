@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import history, leakage, origin, quality
+from . import bpe, budget, history, leakage, origin, quality
+
+
+TOKENIZERS = os.environ.get("LODESTAR_TOKENIZERS", "/opt/tokenizers")
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -31,6 +36,19 @@ def p6_origins(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("repo_id", "origin").agg(F.count("*").alias("n_files"))
 
 
+def p7_tokens(spark: SparkSession, base: str) -> DataFrame:
+    chunks = table(spark, base, "chunks", "chunk_id", "repo_id", "language", "layer", "size_bytes", "content")
+    return budget.token_budget(chunks, table(spark, base, "bundles", "repo_id", "tags"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p7_domains(spark: SparkSession, base: str) -> DataFrame:
+    return budget.domain_budget(p7_tokens(spark, base))
+
+
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    return bpe.encode(table(spark, base, "documents", "doc_id", "text"), bpe.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "goldset", "item_id", "passage")
     return leakage.contained_items(docs, items).select("doc_id", "item_id")
@@ -50,5 +68,5 @@ def p10_statistics(spark: SparkSession, base: str) -> DataFrame:
     return quality.verdicts(table(spark, base, "documents", "doc_id", "text").distinct())
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_origins": p6_origins, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_origins": p6_origins, "p7_tokens": p7_tokens, "p7_domains": p7_domains, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
