@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from .trigrams import Postings, required, trigrams
 
 MASK = "REDACTED"
-_B, _E = r"(?<![A-Za-z0-9+/=_-])", r"(?![A-Za-z0-9+/=_-])"
+_B, _E = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
 _NAME = (
-    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|"
+    r"(?:pass(?:word|wd|phrase|code)?|pwd|[_-]pw|[ \t\n\"'`]pw|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|"
     r"account[_-]?key|master[_-]?key|auth[_-]?key|credentials?|bearer|kennwort|passwort)"
 )
 # name, end of name, quotes around it, how it is assigned, opening quote, value
@@ -56,9 +56,7 @@ _PLACEHOLDER = re.compile(
 _REFERENCE = re.compile(
     r"(?i)(?:\$\{|\$\(|\{\{|%\(|\benv\b|environ|getenv|process\.|vault|secretsmanager|keyring|\bssm:|\bref\+|^@|^\$|^&|^\*[a-z]|^[a-z_][\w.]*\(|^file:|^arn:|^/[\w/.-]+$|^(?:self|this|config|settings|args|os|request|cfg)\.)"
 )
-_DIGEST_NAME = re.compile(
-    r"(?i)(?:sha\d*|md5|hash|digest|checksum|fingerprint|etag|public|pub[_-]?key|\bid\b|[_-]id$|count|len(?:gth)?$|hint|field|name$|header|url|uri|path|file|prefix|suffix|label|type|regex|pattern|format|expir|ttl|limit|min|max|policy|rule|reset|prompt|kind|index|num|size|version|scope|status|class)"
-)
+_OTHER_END = re.compile(r"(?i)[_-](?:len|ttl|id|url|uri|env|ref|max|min|file|path|name|type|hash|hint|sha|md5|num|size|key_id|age|mode|kind|rule|test)$")
 _IDENTIFIER = re.compile(r"^(?:[a-z]+(?:_[a-z]+)*|[A-Z]+(?:_[A-Z0-9]+)*|[A-Za-z][a-z]*(?:[A-Z][a-z]+)*|[a-z]+(?:[.:/-][a-z]+)*|[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+)$")
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
@@ -86,7 +84,7 @@ def _given(m: re.Match, text: str) -> tuple[int, int] | None:
     name = text[first : m.end("name")]
     if text[max(0, first - 2) : first] == "::" or re.search(r"(?i)\bvalues\s*\(", text[text.rfind("\n", 0, first) + 1 : first]):
         return None
-    if _DIGEST_NAME.search(re.sub(r"(?i)" + _NAME, "~", name, count=1).replace("~", "_")):
+    if _OTHER_END.search(name):
         return None
     kind = "quoted" if m.group("quoted") is not None else "open"
     value, at = m.group(kind), m.start(kind)
