@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, budget, history, leakage, origin, quality, secrets
+from . import bpe, budget, history, leakage, origin, quality, secrets, syntax
 
 
 TOKENIZERS = os.environ.get("LODESTAR_TOKENIZERS", "/opt/tokenizers")
@@ -36,6 +36,14 @@ def p6_origins(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("repo_id", "origin").agg(F.count("*").alias("n_files"))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return syntax.parsed_files(_file_chunks(spark, base)).where("error_line is not null").select("repo_id", "path")
+
+
+def p2_rates(spark: SparkSession, base: str) -> DataFrame:
+    return syntax.error_rates(syntax.parsed_files(_file_chunks(spark, base)))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return secrets.secrets(table(spark, base, "chunks", "chunk_id", "content")).select("chunk_id", "line_no").distinct()
 
@@ -76,5 +84,5 @@ def p10_statistics(spark: SparkSession, base: str) -> DataFrame:
     return quality.verdicts(table(spark, base, "documents", "doc_id", "text").distinct())
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_origins": p6_origins, "p7_tokens": p7_tokens, "p7_domains": p7_domains, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_origins": p6_origins, "p7_tokens": p7_tokens, "p7_domains": p7_domains, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
