@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: str = "8", shuffle_partitions: str = "8") -> SparkSession:
@@ -23,21 +25,32 @@ def build_session(cpus: str = "8", shuffle_partitions: str = "8") -> SparkSessio
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return os.path.join(tempfile.gettempdir(), "lodestar-checkpoints")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    neither that nor a checkpoint folder is set (tests on one machine) a temporary
-    folder is taken.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder: smaller than a checkpoint and read by column."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-    elif not context.getCheckpointDir():
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lodestar-checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def broadcast_if_small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Narrow key rows, marked for broadcast only if a count proves that they are few; else as they are."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
