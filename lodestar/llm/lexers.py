@@ -87,8 +87,8 @@ _TPL = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}]*\}|`[^`
 _REGEX = r"/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _SCRIPT = (
     _CCOM + "|" + _DQ + "|" + _SQ + "|" + _TPL + r"|(?:[=(,:;!&|?{\[+~]|\breturn|\n)[ \t]*" + _REGEX + r"|^#![^\n]*|#[A-Za-z_]\w*|\.\.\.|\?\.(?!\d)|\.\s*#?[A-Za-z_$][\w$]*|\d[\w.]*|\.\d\w*"
-    r"|async(?=[ \t]+[\w$*#\[]|[ \t]*\([^()\n]*(?:\([^()]*\)[^()\n]*)*\)[^;\n{}]*=>)|type(?=[ \t]+[A-Za-z_$][\w$]*\s*(?:<|=[^=>]))|(?:interface|enum|namespace|abstract|declare|implements|keyof|is|as|from|of)(?=[ \t\n]+[\w$'\"{*\[(])"
-    r"|(?:public|private|protected|readonly|override|declare|abstract|accessor)(?=[ \t]+[\w$#\[{*])|[\w$\u0080-￿]+"
+    r"|async[ \t](?=[ \t]*[\w$*#\[])|async(?=[ \t]*\([^()\n]*(?:\([^()]*\)[^()\n]*)*\)[^;\n{}]*=>)|type[ \t](?=[ \t]*[A-Za-z_$][\w$]*\s*(?:<|=[^=>]))|(?:interface|enum|namespace|abstract|declare|implements|keyof|is|as|from|of)[ \t](?=[ \t]*[\w$'\"{*\[(])"
+    r"|(?:public|private|protected|readonly|override|accessor)[ \t](?=[ \t]*[\w$#\[{*])|[\w$\u0080-￿]+"
     r"|=>|===|!==|==|!=|<=|>=(?!>)|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\*\*=|\*\*|\+\+|--|<<=|>>>=|>>=|[-+*/%&|^]=|<<|\n|\S"
 )
 _BIN = {o: "BIN" for o in "=== !== == != <= >= && || ?? / % ** ^ << instanceof".split()}
@@ -96,8 +96,6 @@ _ASGS = {o: "ASG" for o in "&&= ||= ??= **= <<= >>= >>>= += -= *= /= %= &= |= ^=
 
 
 def _script_kinds(types: bool) -> Callable[[str], str]:
-    context = set("interface enum namespace abstract declare implements keyof is type readonly public private protected override accessor".split())
-
     def kinds(t: str) -> str:
         c = t[0]
         if t.startswith(("//", "/*", "#!")):
@@ -113,8 +111,6 @@ def _script_kinds(types: bool) -> Callable[[str], str]:
             return ("\n" + "" if c == "\n" else ("'{'" if c == "{" else f"'{head}'") + " STR") if c != "\n" else "STR"
         if _number(t):
             return "NUM"
-        if t in context:
-            return "ID"
         return "ID" if c.isalnum() or c in "_$#" or ord(c) > 127 else BAD
 
     return kinds
@@ -129,11 +125,15 @@ def _script_lines(lang: Language, text: str) -> list[tuple[int, str]]:
 
 
 def _script_language(types: bool) -> Language:
-    fixed = _BIN | _ASGS | {"++": "INC", "--": "INC", "const": "VAR", "let": "VAR", "var": "VAR", "from": "FROM", "async": "ASYNC", "{": "'{'"}
+    fixed = _BIN | _ASGS | {"++": "INC", "--": "INC", "const": "VAR", "let": "VAR", "var": "VAR", "from ": "FROM", "from": "FROM", "async": "ASYNC", "async ": "ASYNC", "{": "'{'", "of ": "'of'", "as ": "'as'"}
     if types:
-        fixed |= {x: "MOD" for x in "public private protected readonly override accessor".split()} | {"type": "'type'", "interface": "'interface'", "enum": "'enum'", "namespace": "'namespace'", "declare": "'declare'", "abstract": "'abstract'"}
+        fixed |= {x + " ": "MOD" for x in "public private protected readonly override accessor".split()}
+        fixed |= {x + " ": f"'{x}'" for x in "type interface enum namespace declare abstract implements keyof is".split()}
     lang = Language(grammars.TYPESCRIPT if types else grammars.JAVASCRIPT, _SCRIPT, _script_kinds(types), fixed, _script_lines, "';'", "}")
     lang.types = types
+    for word in "type interface enum namespace declare abstract implements keyof is of as".split():
+        if word in lang.words:
+            lang.words[word] = lang.char["ID"] if word != "of" else lang.words["of"]
     lang.words["\n"] = "\n"
     before = "=([,:?&|!~+-*<" + lang.of("ASG", "BIN", "VAR", "'return'", "'throw'", "'=>'", "'in'", "'of'", "'...'", "'typeof'", "'new'", "'yield'", "'await'", "'default'", "'extends'")
     lang.objects = re.compile("([" + re.escape(before) + "]\n*)\\{")
