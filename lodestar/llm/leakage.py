@@ -6,8 +6,8 @@ principle one of them suffices as a join key: the rarest by document frequency o
 corpus. The place of that shingle in the window bounds where the window can begin in the document
 (position) and how many words must follow (length); the words there are then compared.
 
-The item side is joined by key like any table; whether it is broadcast is left to the engine's
-size check. Defined cases: null and short texts or passages match nothing; an empty side gives no
+The item side is broadcast only after a count shows that it is small; a
+larger one is joined by shuffle. Defined cases: null and short texts or passages match nothing; an empty side gives no
 rows; repeated rows count once; other columns are ignored.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normal
-from ..session import checkpoint
+from ..session import broadcast_if_small, stored
 
 WINDOW, SHINGLE = 13, 5
 
@@ -43,18 +43,19 @@ def windows(items: DataFrame) -> DataFrame:
 
 def contained_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows): each document with each item it holds a window of."""
-    wins = windows(items)
-    need = wins.select(F.explode("s").alias("k")).distinct()
-    docs = documents.select("doc_id", words(F.col("text")).alias("dw")).where(F.size("dw") >= WINDOW)
-    hits = docs.select("doc_id", F.posexplode(_shingles(F.col("dw"))).alias("pos", "k")).join(need, "k", "left_semi")
-    hits = checkpoint(hits)
+    wins = stored(windows(items))
+    need = broadcast_if_small(stored(wins.select(F.explode("s").alias("k")).distinct()))
+    docs = documents.select("doc_id", words(F.col("text")).alias("dw"))
+    hits = stored(docs.select("doc_id", F.posexplode(_shingles(F.col("dw"))).alias("pos", "k")).join(need, "k", "left_semi"))
     df = hits.groupBy("k").agg(F.count_distinct("doc_id").alias("df"))
     # the rarest shingle of each window; one that no document holds makes the window impossible
     parts = wins.select("item_id", "w", F.posexplode("s").alias("off", "k")).join(df, "k", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     prefix = parts.groupBy("item_id", "w").agg(F.min(F.struct("df", "k", "off")).alias("p")).where("p.df > 0")
     prefix = prefix.select("item_id", "w", "p.k", "p.off")
-    places = hits.join(prefix, "k").select("doc_id", "item_id", "w", (F.col("pos") - F.col("off")).alias("begin")).where("begin >= 0")
-    whole = docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+    places = stored(hits.join(prefix, "k").select("doc_id", "item_id", "w", (F.col("pos") - F.col("off")).alias("begin")).where("begin >= 0").distinct())
+    whole = documents.select("doc_id", "text").join(broadcast_if_small(stored(places.select("doc_id").distinct())), "doc_id", "left_semi")
+    whole = whole.select("doc_id", words(F.col("text")).alias("dw")).join(places, "doc_id")
     same = F.slice(F.col("dw"), F.col("begin") + 1, WINDOW) == F.col("w")
-    found = whole.join(places, "doc_id").where((F.size("dw") >= F.col("begin") + WINDOW) & same)
+    found = whole.where((F.size("dw") >= F.col("begin") + WINDOW) & same)
     return found.groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_windows"))
+
