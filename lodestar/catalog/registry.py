@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("integrity",)
+MODULES = ("integrity", "retrieval")
 
 
 def _merged(what: str) -> dict:
