@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("integrity", "retrieval")
+MODULES = ("integrity", "retrieval", "inventory", "structure")
 
 
 def _merged(what: str) -> dict:
