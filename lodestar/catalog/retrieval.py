@@ -36,7 +36,7 @@ def _order() -> list:
 
 
 def bm25_topk(spark, base):
-    return R.top_k(_hits(spark, base), 10, ["query_id"], _order()).select("query_id", "rank", "chunk_id", "score")
+    return R.top_k(_hits(spark, base), 10, ["query_id"], _order()).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def term_statistics(spark, base):
@@ -75,12 +75,12 @@ def graph_boosted_rerank(spark, base):
 
 def federated_topk(spark, base):
     one = _hits(spark, base).where("query_id = 'q2'")
-    return R.federated_top_k(one, "repo_id", 3, 20, _order()).select("repo_id", "bundle_rank", "chunk_id", "score")
+    return R.federated_top_k(one, "repo_id", 3, 20, _order()).select("repo_id", "bundle_rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def federation_summary(spark, base):
     hits, bundles = _hits(spark, base).where("query_id = 'q2'"), table(spark, base, "bundles", "repo_id", "last_fingerprint").distinct()
-    n = hits.groupBy("repo_id").agg(F.count("*").alias("n_hits"), F.min("score").alias("best"))
+    n = hits.groupBy("repo_id").agg(F.count("*").alias("n_hits"), F.round(F.min("score"), 6).alias("best"))
     status = F.when(F.col("last_fingerprint").isNull(), "no_fingerprint").when(F.col("n_hits").isNull(), "no_hits").otherwise("ok")
     return bundles.join(n, "repo_id", "left").select("repo_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "best", status.alias("status"))
 
@@ -192,7 +192,7 @@ tdf AS (SELECT term, count(*) AS df FROM {posts} WHERE term IN (SELECT term FROM
 need AS (SELECT query_id, count(DISTINCT group_id) AS n_groups FROM q GROUP BY 1),
 sc AS (SELECT q.query_id, p.doc, -sum(greatest(1e-6, ln((st.n - tdf.df + 0.5) / (tdf.df + 0.5))) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * dls.dl / st.avgdl))) AS s, count(DISTINCT q.group_id) AS got
   FROM {posts} p JOIN q USING (term) JOIN tdf USING (term) JOIN dls USING (doc), st GROUP BY 1, 2),
-scored AS (SELECT sc.query_id, doc, round(s, 6) AS score FROM sc JOIN need USING (query_id) WHERE got = n_groups)"""
+scored AS (SELECT sc.query_id, doc, round(s, 12) AS score FROM sc JOIN need USING (query_id) WHERE got = n_groups)"""
 
 
 _Q = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in QUERY) + ") v(query_id, group_id, term)"
@@ -208,7 +208,7 @@ ranks AS (SELECT gold.query_id, gold.language, gold.category, f.first_rank FROM
   SELECT r.query_id, min(r.rank) AS first_rank FROM ranked r JOIN d USING (doc) JOIN gold g USING (query_id) WHERE contains(lower(d.text), lower(substr(g.passage, 1, 60))) GROUP BY 1) f USING (query_id))"""
 
 SQL = {
-    "bm25_topk": _H + f" SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank FROM hits) WHERE rank <= 10",
+    "bm25_topk": _H + f" SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank FROM hits) WHERE rank <= 10",
     "term_statistics": _P + " SELECT term, count(*) AS df, sum(tf) AS cf FROM posts GROUP BY 1",
     "doc_lengths": _P + " SELECT * FROM dls",
     "metadata_scan": _C + " SELECT DISTINCT chunk_id, repo_id, path, start_line FROM c WHERE lower(path) LIKE '%graph%' AND lower(path) LIKE '%.py' AND artifact_type = 'code' ORDER BY repo_id, path, start_line, chunk_id LIMIT 50",
@@ -219,9 +219,9 @@ b AS (SELECT hits.*, coalesce(distance, -1) AS distance, abs(score) / max(abs(sc
 f AS (SELECT *, round(nrm, 6) AS bm25_norm, round((0.65 * nrm + least(0.2 * CASE WHEN distance >= 0 THEN 1.0 / (distance + 1) ELSE 0 END + CASE WHEN distance = 0 THEN 0.15 ELSE 0 END, 0.35))
   * CASE WHEN coalesce(layer = 'test', false) OR contains(lower(path), 'test') THEN 0.75 ELSE 1 END, 6) AS final_score FROM b)
 SELECT query_id, rank, chunk_id, bm25_norm, final_score, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, path, {_ORD}) AS rank FROM f) WHERE rank <= 10""",
-    "federated_topk": _H + f" SELECT repo_id, bundle_rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_ORD}) AS bundle_rank FROM hits WHERE query_id = 'q2') WHERE bundle_rank <= 3 ORDER BY {_ORD} LIMIT 20",
+    "federated_topk": _H + f" SELECT repo_id, bundle_rank, chunk_id, round(score, 6) AS score FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_ORD}) AS bundle_rank FROM hits WHERE query_id = 'q2') WHERE bundle_rank <= 3 ORDER BY {_ORD} LIMIT 20)",
     "federation_summary": _H + """ SELECT b.repo_id, coalesce(n_hits, 0) AS n_hits, best, CASE WHEN last_fingerprint IS NULL THEN 'no_fingerprint' WHEN n_hits IS NULL THEN 'no_hits' ELSE 'ok' END AS status
-FROM (SELECT DISTINCT repo_id, last_fingerprint FROM bundles) b LEFT JOIN (SELECT repo_id, count(*) AS n_hits, min(score) AS best FROM hits WHERE query_id = 'q2' GROUP BY 1) USING (repo_id)""",
+FROM (SELECT DISTINCT repo_id, last_fingerprint FROM bundles) b LEFT JOIN (SELECT repo_id, count(*) AS n_hits, round(min(score), 6) AS best FROM hits WHERE query_id = 'q2' GROUP BY 1) USING (repo_id)""",
     "filename_conflicts": "SELECT file_name, count(*) AS n_places, count(DISTINCT repo_id) AS n_bundles FROM (SELECT DISTINCT lower(split_part(path, '/', -1)) AS file_name, repo_id, path FROM chunks) GROUP BY 1 HAVING count(*) > 1",
     "cross_repo_links": _H + f""", t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank FROM hits) WHERE rank <= 10),
 e AS (SELECT query_id, repo_id AS b, list_sort(list(DISTINCT chunk_id))[1:5] AS ids FROM t GROUP BY 1, 2)

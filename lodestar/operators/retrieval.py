@@ -62,7 +62,8 @@ def bm25_scores(posts: DataFrame, queries: DataFrame, n_docs: Column | None = No
     rows = hits.join(q, "term").join(lengths, "doc")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "doc").agg((-F.sum(weight)).alias("score"), F.count_distinct("group_id").alias("got"))
-    return scored.join(need, "query_id").where("got = n_groups").select("query_id", "doc", F.round("score", 6).alias("score"))
+    # rounded far below any real difference, so that the order doesn't hang on the order of sums
+    return scored.join(need, "query_id").where("got = n_groups").select("query_id", "doc", F.round("score", 12).alias("score"))
 
 
 def top_k(rows: DataFrame, k: int, partition: Sequence[str], order: Sequence[Column]) -> DataFrame:

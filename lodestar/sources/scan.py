@@ -93,4 +93,4 @@ def parse_diffs(diffs: DataFrame) -> DataFrame:
 def markdown_tables(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Cells of Markdown table rows: (key, row_no, cells); separator rows are left out."""
     rows = texts.select(key, F.posexplode(F.split(text, "\n")).alias("row_no", "line")).where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^[\s|:-]+$"))
-    return rows.select(key, "row_no", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim).alias("cells"))
+    return rows.select(key, "row_no", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)).alias("cells"))
