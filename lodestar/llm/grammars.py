@@ -111,13 +111,13 @@ starexpr : named | '*' expr | 'yield' exprs? | 'yield' 'from' expr ;
 named : expr | expr ':=' expr ;
 expr : or | or 'if' or 'else' expr | 'lambda' lparams? ':' expr ;
 or : unary | or op unary ;
-op : BIN | '*' | '**' | '-' | '+' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ;
+op : BIN | '@' | '*' | '**' | '-' | '+' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ;
 unary : postfix | pre unary ;
 pre : 'not' | '-' | '+' | '~' | 'await' ;
 postfix : atom | postfix DOT | postfix '(' args? ')' | postfix '[' {sub ','} ','? ']' ;
 atom : ID | NUM | STR+ | '...' | '(' ')' | '(' exprs ')' | '(' named comp+ ')' | '[' ']' | '[' exprs ']' | '[' named comp+ ']' | '{' '}' | '{' {entry ','} ','? '}' | '{' entry comp+ '}' ;
 entry : named | expr ':' expr | '**' expr | '*' expr ;
-comp : 'async'? 'for' targets 'in' or filter* ;
+comp : 'for' targets 'in' or filter* | 'async' 'for' targets 'in' or filter* ;
 filter : 'if' or ;
 targets : {target ','} ','? ;
 target : postfix | '*' postfix ;
@@ -126,16 +126,16 @@ arg : named | named comp+ | ID '=' expr | '*' expr | '**' expr ;
 sub : named | '*' expr | expr? ':' expr? | expr? ':' expr? ':' expr? ;
 lparams : {lparam ','} ','? ;
 lparam : ID | ID '=' expr | '*' ID? | '**' ID | '/' ;
-compound : 'if' named ':' block elif* else? | 'while' named ':' block else? | async? 'for' targets 'in' exprs ':' block else? | 'try' ':' block except+ else? finally? | 'try' ':' block finally
-  | async? 'with' {withitem ','} ':' block | deco* def | 'match' exprs ':' NL INDENT matchcase+ DEDENT ;
-async : 'async' ;
+compound : 'if' named ':' block elif* else? | 'while' named ':' block else? | for | 'async' for | with | 'async' with | def | 'async' def | deco+ def | deco+ 'async' def | 'try' ':' block except+ else? finally? | 'try' ':' block finally | 'match' exprs ':' NL INDENT matchcase+ DEDENT ;
+for : 'for' targets 'in' exprs ':' block else? ;
+with : 'with' {withitem ','} ':' block ;
 elif : 'elif' named ':' block ;
 else : 'else' ':' block ;
 finally : 'finally' ':' block ;
 except : 'except' ':' block | 'except' '*'? exprs ':' block | 'except' '*'? expr 'as' ID ':' block ;
 withitem : expr | expr 'as' target ;
 deco : '@' named NL ;
-def : async? 'def' ID tps? '(' params? ')' ':' block | async? 'def' ID tps? '(' params? ')' '->' expr ':' block | 'class' ID tps? ':' block | 'class' ID tps? '(' args? ')' ':' block ;
+def : 'def' ID tps? '(' params? ')' ':' block | 'def' ID tps? '(' params? ')' '->' expr ':' block | 'class' ID tps? ':' block | 'class' ID tps? '(' args? ')' ':' block ;
 tps : '[' {lparam ','} ']' ;
 params : {param ','} ','? ;
 param : ID annot? | ID annot? '=' expr | '*' | '*' ID annot? | '**' ID annot? | '/' ;
@@ -325,9 +325,10 @@ node : OPEN items CLOSE ;
 items : mapitem+ | dashitem+ | scalar ;
 scalar : VALUE+ | PROP+ VALUE* | BLOCKTEXT | flow ;
 mapitem : KEY rest ;
-rest : | PROP* VALUE+ | PROP* BLOCKTEXT | PROP* flow | PROP+ | PROP* node | PROP* dashitem+ ;
+rest : | PROP+ | val | PROP+ val | dashitem+ | PROP+ dashitem+ ;
+val : VALUE+ | BLOCKTEXT | flow | node ;
 dashitem : DASH rest2 ;
-rest2 : | PROP* VALUE+ | PROP* BLOCKTEXT | PROP* flow | PROP+ | PROP* node ;
+rest2 : | PROP+ | val | PROP+ val ;
 flow : '[' fitems ']' | '{' fitems '}' ;
 fitems : | {fitem ','} | {fitem ','} ',' ;
 fitem : fnode | fnode ':' fnode | fnode ':' ;

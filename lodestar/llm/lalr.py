@@ -118,6 +118,7 @@ class Tables:
     rules: list[tuple[str, int]]
     accept: int
     asi: str | None = None
+    restricted: str = ""
     memo: dict = field(default_factory=dict)
 
 
@@ -220,7 +221,7 @@ def _advance(t: Tables, stack: list[int], line: str, fresh: bool, close: str) ->
     while i < n:
         c = line[i]
         a = action[own[-1]].get(c)
-        if a is None:
+        if a is None or i == 0 and fresh and c == t.restricted and added != 0 and asi in action[own[-1]]:
             if asi is None or added == i or not (i == 0 and fresh or c in close):
                 return i
             a = action[own[-1]].get(asi)

@@ -135,7 +135,8 @@ def _script_language(types: bool) -> Language:
         if word in lang.words:
             lang.words[word] = lang.char["ID"] if word != "of" else lang.words["of"]
     lang.words["\n"] = "\n"
-    before = "=([,:?&|!~+-*<" + lang.of("ASG", "BIN", "VAR", "'return'", "'throw'", "'=>'", "'in'", "'of'", "'...'", "'typeof'", "'new'", "'yield'", "'await'", "'default'", "'extends'")
+    before = "=([,:?&|!~+-*<" + lang.of("ASG", "BIN", "VAR", "'return'", "'throw'", "'in'", "'of'", "'...'", "'typeof'", "'new'", "'yield'", "'await'", "'default'", "'extends'")
+    lang.tables.restricted = lang.char["INC"]
     lang.objects = re.compile("([" + re.escape(before) + "]\n*)\\{")
     lang.object = "\\1" + lang.char["OBJ"]
     return lang
@@ -146,7 +147,7 @@ _PY = (
     r"#[^\n]*|(?:[rRbBfFuU]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|" + _DQ + "|" + _SQ + r")"
     r"|\\\r?\n|\.\.\.|\.\s*[A-Za-z_]\w*|\d[\w.]*(?:[eE][+-]\d+)?|\.\d\w*|[^\W\d]\w*|:=|->|\*\*=|//=|>>=|<<=|\*\*|//|<<|>>|<=|>=|==|!=|[-+*/%@&|^]=|\n[ \t\f]*|\S"
 )
-_PYBIN = {o: "BIN" for o in "// / % @ & | ^ << >> == != < > <= >= and or".split()}
+_PYBIN = {o: "BIN" for o in "// / % & | ^ << >> == != < > <= >= and or".split()}
 _PYAUG = {o: "AUG" for o in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split()}
 
 
@@ -188,6 +189,9 @@ def _python_lines(lang: Language, text: str) -> list[tuple[int, str]]:
             continue
         if c == "#":
             continue
+        if c == "\\" and len(t) > 1:
+            no += 1
+            continue
         if first:
             first = False
             if width > levels[-1]:
@@ -386,7 +390,8 @@ def _toml_lines(lang: Language, text: str) -> list[tuple[int, str]]:
     out, no = [], 1
     line: list[str] = []
     after = False
-    for t in lang.find(text):
+    tokens = lang.find(text)
+    for i, t in enumerate(tokens):
         if t == "\n":
             out.append((no, "".join(line) + nl))
             line, after = [], False
@@ -395,7 +400,8 @@ def _toml_lines(lang: Language, text: str) -> list[tuple[int, str]]:
         if t == "=":
             after = True
         c = lang.map[t]
-        if c == bare and after and t != "k" and not _TOMLBARE.match(t):
+        is_key = i + 1 < len(tokens) and tokens[i + 1] in "=." or i and tokens[i - 1] == "."
+        if c == bare and after and t != "k" and not is_key and not _TOMLBARE.match(t):
             c = BAD
         elif c == bare and after and t == "k":
             c = BAD if len(line) and line[-1] == "=" else c

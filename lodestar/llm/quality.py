@@ -32,7 +32,7 @@ COMMON_DE = (
 ).split()
 # Thresholds of the rules.
 BLOCK_COMMON, BLOCK_WORDS, BLOCK_LETTERS, BLOCK_BROKEN = 0.12, 4, 0.5, 0.01
-REPEAT_WORDS, REPEAT_DISTINCT, REPEAT_FOURS = 20, 0.35, 0.5
+REPEAT_WORDS, REPEAT_DISTINCT, REPEAT_FOURS = 20, 0.25, 0.25
 PART = 0.5
 RULES = {
     "words_below_50": "n_words < 50",
