@@ -101,7 +101,8 @@ small : exprs | exprs AUG exprs | exprs assigned | exprs ':' expr | exprs ':' ex
 assigned : '=' exprs | assigned '=' exprs ;
 modas : dotted | dotted 'as' ID ;
 dotted : ID | dotted DOT ;
-module : dots dotted | dots | dotted | dots DOT ;
+module : dots | dotted | dotpath ;
+dotpath : DOT | dots DOT | dotpath DOT ;
 dots : dot | dots dot ;
 dot : '.' | '...' ;
 imported : '*' | '(' {nameas ','} ','? ')' | {nameas ','} ;
@@ -111,10 +112,10 @@ starexpr : named | '*' expr | 'yield' exprs? | 'yield' 'from' expr ;
 named : expr | expr ':=' expr ;
 expr : or | or 'if' or 'else' expr | 'lambda' lparams? ':' expr ;
 or : unary | or op unary ;
-op : BIN | '@' | '*' | '**' | '-' | '+' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ;
+op : BIN | '@' | '/' | '*' | '**' | '-' | '+' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ;
 unary : postfix | pre unary ;
 pre : 'not' | '-' | '+' | '~' | 'await' ;
-postfix : atom | postfix DOT | postfix '(' args? ')' | postfix '[' {sub ','} ','? ']' ;
+postfix : atom | postfix DOT | postfix '.' ID | postfix '(' args? ')' | postfix '[' {sub ','} ','? ']' ;
 atom : ID | NUM | STR+ | '...' | '(' ')' | '(' exprs ')' | '(' named comp+ ')' | '[' ']' | '[' exprs ']' | '[' named comp+ ']' | '{' '}' | '{' {entry ','} ','? '}' | '{' entry comp+ '}' ;
 entry : named | expr ':' expr | '**' expr | '*' expr ;
 comp : 'for' targets 'in' or filter* | 'async' 'for' targets 'in' or filter* ;

@@ -145,9 +145,9 @@ def _script_language(types: bool) -> Language:
 # --- Python
 _PY = (
     r"#[^\n]*|(?:[rRbBfFuU]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|" + _DQ + "|" + _SQ + r")"
-    r"|\\\r?\n|\.\.\.|\.\s*[A-Za-z_]\w*|\d[\w.]*(?:[eE][+-]\d+)?|\.\d\w*|[^\W\d]\w*|:=|->|\*\*=|//=|>>=|<<=|\*\*|//|<<|>>|<=|>=|==|!=|[-+*/%@&|^]=|\n[ \t\f]*|\S"
+    r"|\\\r?\n|\.\.\.|\.(?![ \t]*import\b)[ \t]*[^\W\d]\w*|0[xX]\w+|\d[\w.]*[eE][+-]\d\w*|\d[\w.]*|\.\d\w*(?:(?<=[eE])[+-]\d\w*)?|[^\W\d]\w*|:=|->|\*\*=|//=|>>=|<<=|\*\*|//|<<|>>|<=|>=|==|!=|[-+*/%@&|^]=|\n[ \t\f]*|\S"
 )
-_PYBIN = {o: "BIN" for o in "// / % & | ^ << >> == != < > <= >= and or".split()}
+_PYBIN = {o: "BIN" for o in "// % & | ^ << >> == != < > <= >= and or".split()}
 _PYAUG = {o: "AUG" for o in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split()}
 
 
@@ -160,10 +160,13 @@ def _python_kinds(t: str) -> str:
     if c == "." and len(t) > 1 and not _number(t):
         return "DOT"
     if _number(t):
-        return "NUM"
+        return "NUM" if _PYNUM.fullmatch(t) else BAD
     return "ID" if c.isalnum() or c == "_" or ord(c) > 127 and t.isidentifier() else BAD
 
 
+_PYNUM = re.compile(r"(?i)0x[\da-f_]+|0o[0-7_]+|0b[01_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:e[+-]?\d[\d_]*)?j?")
+
+
 _SOFT = re.compile(r"(match|case)\b(?=[ \t]+[^=\s)\].,]|[ \t]*[\[({'\"\-*])(?=.*:\s*(?:#.*)?$|.*:[ \t]+\S)")
 
 
@@ -209,8 +212,11 @@ def _python_lines(lang: Language, text: str) -> list[tuple[int, str]]:
                 if _SOFT.match(sources[no - 1].lstrip()):
                     line.append(soft[t])
                     continue
-            elif t in ("match", "case"):
-                pass
+            elif t == "type":
+                if sources is None:
+                    sources = text.replace("\r\n", "\n").split("\n")
+                if re.match(r"type[ \t]+\w+[ \t]*[=\[]", sources[no - 1].lstrip()):
+                    continue
         if c in "([{":
             depth += 1
         elif c in ")]}":
