@@ -1,11 +1,12 @@
 """Byte-level BPE inside the JVM.
 
-Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of the corpus are
-encoded once: a higher-order fold merges the neighbours of lowest rank, again and again, over the
-piece's bytes; ranks come from a literal map, an array of small maps picked by hash, as a map in
-Spark is searched from its start. The pieces' ids go back to the texts in two ways that together
-cover all pieces: the HOT most frequent ones as a literal of bounded size, so that the hottest
-pieces are never shuffled, and all others by a join on the piece.
+Texts are cut into pieces by the tokenizer's pattern. A higher-order fold merges the neighbours of
+lowest rank, again and again, over the bytes of a piece; ranks come from a literal map that is
+kept as two arrays and searched by hash, as a map value in Spark is searched from its start and is
+built anew, object by object, in every task. Distinct frequent pieces
+are folded once: the HOT ones of a sample of the documents become a second literal of bounded
+size, which only saves work and changes no result. Every other piece is folded where it stands, so
+no text, piece or list of ids is shuffled for the encoding itself.
 
 Bytes are written as Latin-1 characters, one per byte. Defined cases: null and empty texts give
 the empty list; blank texts are encoded as they are; a piece of any length is folded whole (its
@@ -19,17 +20,18 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..session import stored
+from pyspark.sql.types import ArrayType, IntegerType
 
 # Fixed value: the published cutting pattern of the vocabulary, with Unicode blanks.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-RANK_BUCKETS, HOT, HOT_BUCKETS, LONG = 1 << 14, 1 << 14, 1 << 13, 64
+HOT, LONG = 1 << 13, 64
+HOT_FROM = 8  # one document of so many is looked at for frequent pieces
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,30 +40,64 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _hashes(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
+def _longs(df: DataFrame, values: np.ndarray) -> Column:
+    """A constant array of longs as one block of memory, which tasks read without building objects."""
+    jvm, gateway = df.sparkSession._jvm, df.sparkSession.sparkContext._gateway
+    block = gateway.new_array(jvm.long, len(values))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(values.astype(">i8").tobytes())).asLongBuffer().get(block)
+    data = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(block)
+    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>")
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(data, kind)))
+
+
+@dataclass(frozen=True)
+class LiteralMap:
+    """A constant map from strings to longs, searched in two places by 64-bit hash (cuckoo hashing)."""
+
+    hashes: Column
+    values: Column
+    bits: int
 
+    def __call__(self, key: Column) -> Column:
+        mask = F.lit((1 << self.bits) - 1)
 
-def _literal(rows: DataFrame, buckets: int, kind: str) -> Column:
-    """A constant array of maps k -> v; ``rows`` has k and v and a bounded number of rows."""
-    maps: list[dict] = [{} for _ in range(buckets)]
-    for r in _hashes(rows, buckets).toLocalIterator():
-        maps[r["b"]][r["k"]] = r["v"]
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), F.lit(f"array<map<string,{kind}>>"))
+        def at(h: Column) -> Column:
+            one, two = h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 24).bitwiseAND(mask).cast("int")
+            return F.when(F.get(self.hashes, one) == h, F.get(self.values, one)).when(F.get(self.hashes, two) == h, F.get(self.values, two))
 
+        return F.get(F.transform(F.array(F.xxhash64(key)), at), F.lit(0))
 
-def _look(maps: Column, buckets: int, key: Column) -> Column:
-    return F.element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), key)
 
+def literal_map(df: DataFrame, hashed: list[tuple[int, int]]) -> LiteralMap:
+    """From (hash of the key, value) pairs, a bounded number; values are not negative."""
+    bits = max(4, (2 * len(hashed)).bit_length() + 1)
+    mask = (1 << bits) - 1
+    places = lambda h: ((h & mask), ((h & 0xFFFFFFFFFFFFFFFF) >> 24) & mask)
+    slots: dict[int, tuple[int, int]] = {}
+    for item in hashed:
+        at = places(item[0])[0]
+        for _ in range(500):
+            item_before, slots[at] = slots.get(at), item
+            if item_before is None or item_before[0] == item[0]:
+                break
+            item = item_before
+            one, two = places(item[0])
+            at = two if at == one else one
+        else:
+            raise ValueError("the keys do not fit; raise the number of bits")
+    hashes, values = np.zeros(1 << bits, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int64)
+    for at, (h, v) in slots.items():
+        hashes[at], values[at] = h, v
+    return LiteralMap(_longs(df, hashes), _longs(df, values), bits)
 
-def rank_literal(df: DataFrame, ranks: dict[bytes, int]) -> Column:
-    rows = df.sparkSession.createDataFrame(pd.DataFrame({"k": [t.decode("latin-1") for t in ranks], "v": list(ranks.values())}), "k string, v int")
-    return _literal(rows, RANK_BUCKETS, "int")
 
+def rank_literal(df: DataFrame, ranks: dict[bytes, int]) -> LiteralMap:
+    rows = df.sparkSession.createDataFrame(pd.DataFrame({"k": [t.decode("latin-1") for t in ranks], "v": list(ranks.values())}), "k string, v long")
+    return literal_map(df, [tuple(r) for r in rows.select(F.xxhash64("k"), "v").collect()])
 
-def fold(latin: Column, maps: Column) -> Column:
+
+def fold(latin: Column, rank: LiteralMap) -> Column:
     """Ids of one piece: merge the leftmost neighbours of lowest rank until none has a rank."""
-    rank = lambda key: _look(maps, RANK_BUCKETS, key)
     parts = F.filter(F.split(latin, ""), lambda x: x != "")
 
     def merge(acc: Column, _: Column) -> Column:
@@ -77,7 +113,7 @@ def fold(latin: Column, maps: Column) -> Column:
 
     merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), parts, merge)
     whole = rank(latin)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(merged, rank))
+    return F.when(whole.isNotNull(), F.array(whole.cast("int"))).otherwise(F.transform(merged, lambda p: rank(p).cast("int")))
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -115,36 +151,49 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), 0)
 
 
-def piece_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece, n, ids) of distinct pieces (piece, n)."""
-    latin = F.decode(F.encode("piece", "utf-8"), "ISO-8859-1")
-    maps = rank_literal(words, ranks)
-    short = words.where(F.octet_length("piece") < LONG).select("piece", "n", fold(latin, maps).alias("ids"))
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+# Runs that may hold a piece of LONG bytes: 16 characters of one kind at least.
+_LONG_RUN = r"(?U)\p{L}{15,}|\p{N}{15,}|[^\s\p{L}\p{N}]{15,}|\s{16,}"
+
+
+def hot_pieces(documents: DataFrame, rank: LiteralMap) -> DataFrame:
+    """(k, v): the most frequent pieces of a sample and their ids."""
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_FROM)) == 0)
+    words = sample.select(F.explode(pieces(F.coalesce("text", F.lit("")))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    top = words.where(F.octet_length("k") < LONG).orderBy(F.desc("n"), "k").limit(HOT)
+    return top.repartition(8, "k").select("k", fold(_latin(F.col("k")), rank).alias("v"))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(ids=[heap_merge(p.encode(), shared.value) for p in b["piece"]])
 
-    long = words.where(F.octet_length("piece") >= LONG).mapInPandas(merge, "piece string, n long, ids array<int>")
-    return short.unionByName(long)
+def _latin(piece: Column) -> Column:
+    return F.decode(F.encode(piece, "utf-8"), "ISO-8859-1")
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids) of every document."""
-    cut = documents.select("doc_id", pieces(F.coalesce("text", F.lit(""))).alias("ps"))
-    words = cut.select(F.explode("ps").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    known = stored(piece_ids(words, ranks))
-    hot = known.orderBy(F.desc("n"), "piece").limit(HOT).select(F.col("piece").alias("k"), F.col("ids").alias("v"))
-    maps = _literal(hot, HOT_BUCKETS, "array<int>")
-    look = lambda p: _look(maps, HOT_BUCKETS, p)
-    half = stored(cut.select("doc_id", F.transform("ps", lambda p: F.struct(look(p).alias("ids"), F.when(look(p).isNull(), p).alias("rest"))).alias("ps")))
-    need = half.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform("ps", lambda x: x["rest"]), lambda x: x.isNotNull()))).alias("piece"))
-    tail = need.join(known.select("piece", "ids"), "piece").groupBy("doc_id").agg(F.collect_set(F.struct("piece", "ids")).alias("known"))
-    own = F.map_from_entries(F.col("known"))
-    full = half.join(tail, "doc_id", "left").withColumn("own", own)
-    ids = F.flatten(F.transform("ps", lambda x: F.coalesce(x["ids"], F.element_at(F.col("own"), x["rest"]))))
-    return full.select("doc_id", ids.alias("ids")).dropDuplicates(["doc_id"])
+    docs = documents.groupBy("doc_id").agg(F.max("text").alias("text"))
+    rank = rank_literal(documents, ranks)
+    hot = [(h, list(v)) for h, v in hot_pieces(documents.select("doc_id", "text"), rank).select(F.xxhash64("k"), "v").collect()]
+    ends = np.cumsum([0, *(len(v) for _, v in hot)])
+    places = literal_map(documents, [(h, int(ends[i]) << 24 | int(ends[i + 1]) - 1) for i, (h, _) in enumerate(hot)])
+    flat = _longs(documents, np.array([x for _, v in hot for x in v] or [0], dtype=np.int64))
+
+    def ids_of(p: Column) -> Column:
+        """Ids of one piece: read from the hot ones, else folded."""
+        read = lambda v: F.transform(F.sequence(F.shiftright(v, 24), v.bitwiseAND(F.lit((1 << 24) - 1))), lambda i: F.get(flat, i.cast("int")).cast("int"))
+        return F.get(F.transform(F.array(places(p)), lambda v: F.when(v.isNotNull(), read(v)).otherwise(fold(_latin(p), rank))), F.lit(0))
+
+    long = F.coalesce(F.col("text").rlike(_LONG_RUN), F.lit(False))
+    cut = docs.withColumn("long", long).select("doc_id", "long", pieces(F.coalesce("text", F.lit(""))).alias("ps"))
+    plain = cut.where("not long").select("doc_id", F.flatten(F.transform("ps", ids_of)).alias("ids"))
+    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+    def merged(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ps: [heap_merge(p.encode(), shared.value) for p in ps])
+
+    whole = cut.where("long").withColumn("ls", F.array_distinct(F.filter("ps", lambda p: F.octet_length(p) >= LONG)))
+    whole = whole.withColumn("own", F.map_from_arrays("ls", merged("ls")))
+    ids = F.transform("ps", lambda p: F.when(F.octet_length(p) >= LONG, F.element_at(F.col("own"), p)).otherwise(ids_of(p)))
+    return plain.unionByName(whole.select("doc_id", F.flatten(ids).alias("ids")))
 
 
 def decode(ids: Column, ranks: dict[bytes, int], df: DataFrame) -> Column:
