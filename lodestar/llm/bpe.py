@@ -59,13 +59,13 @@ class LiteralMap:
     bits: int
 
     def __call__(self, key: Column) -> Column:
-        mask = F.lit((1 << self.bits) - 1)
-
-        def at(h: Column) -> Column:
-            one, two = h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 24).bitwiseAND(mask).cast("int")
-            return F.when(F.get(self.hashes, one) == h, F.get(self.values, one)).when(F.get(self.hashes, two) == h, F.get(self.values, two))
+        return F.get(F.transform(F.array(F.xxhash64(key)), self.at), F.lit(0))
 
-        return F.get(F.transform(F.array(F.xxhash64(key)), at), F.lit(0))
+    def at(self, h: Column) -> Column:
+        """Value of a key's hash, null if there is none."""
+        mask = F.lit((1 << self.bits) - 1)
+        one, two = h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 24).bitwiseAND(mask).cast("int")
+        return F.when(F.get(self.hashes, one) == h, F.get(self.values, one)).when(F.get(self.hashes, two) == h, F.get(self.values, two))
 
 
 def literal_map(df: DataFrame, hashed: list[tuple[int, int]]) -> LiteralMap:
@@ -173,17 +173,21 @@ def encode(documents: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     rank = rank_literal(documents, ranks)
     hot = [(h, list(v)) for h, v in hot_pieces(documents.select("doc_id", "text"), rank).select(F.xxhash64("k"), "v").collect()]
     ends = np.cumsum([0, *(len(v) for _, v in hot)])
-    places = literal_map(documents, [(h, int(ends[i]) << 24 | int(ends[i + 1]) - 1) for i, (h, _) in enumerate(hot)])
+    # a piece of one token is its id, any other the place of its ids in ``flat``
+    places = literal_map(documents, [(h, v[0] if len(v) == 1 else (int(ends[i]) + 1) << 24 | int(ends[i + 1]) - 1) for i, (h, v) in enumerate(hot)])
     flat = _longs(documents, np.array([x for _, v in hot for x in v] or [0], dtype=np.int64))
 
-    def ids_of(p: Column) -> Column:
-        """Ids of one piece: read from the hot ones, else folded."""
-        read = lambda v: F.transform(F.sequence(F.shiftright(v, 24), v.bitwiseAND(F.lit((1 << 24) - 1))), lambda i: F.get(flat, i.cast("int")).cast("int"))
-        return F.get(F.transform(F.array(places(p)), lambda v: F.when(v.isNotNull(), read(v)).otherwise(fold(_latin(p), rank))), F.lit(0))
+    def ids_of(p: Column, v: Column) -> Column:
+        """Ids of one piece: read from the hot ones by its place, else folded."""
+        run = F.sequence(F.shiftright(v, 24) - 1, v.bitwiseAND(F.lit((1 << 24) - 1)))
+        return (
+            F.when(v < 1 << 24, F.array(v.cast("int"))).when(v.isNull(), fold(_latin(p), rank)).otherwise(F.transform(run, lambda i: F.get(flat, i.cast("int")).cast("int")))
+        )
 
     long = F.coalesce(F.col("text").rlike(_LONG_RUN), F.lit(False))
     cut = docs.withColumn("long", long).select("doc_id", "long", pieces(F.coalesce("text", F.lit(""))).alias("ps"))
-    plain = cut.where("not long").select("doc_id", F.flatten(F.transform("ps", ids_of)).alias("ids"))
+    cut = cut.withColumn("vs", F.transform(F.transform("ps", lambda p: F.xxhash64(p)), places.at))
+    plain = cut.where("not long").select("doc_id", F.flatten(F.zip_with("ps", "vs", ids_of)).alias("ids"))
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
@@ -192,7 +196,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     whole = cut.where("long").withColumn("ls", F.array_distinct(F.filter("ps", lambda p: F.octet_length(p) >= LONG)))
     whole = whole.withColumn("own", F.map_from_arrays("ls", merged("ls")))
-    ids = F.transform("ps", lambda p: F.when(F.octet_length(p) >= LONG, F.element_at(F.col("own"), p)).otherwise(ids_of(p)))
+    ids = F.zip_with("ps", "vs", lambda p, v: F.when(F.octet_length(p) >= LONG, F.element_at(F.col("own"), p)).otherwise(ids_of(p, v)))
     return plain.unionByName(whole.select("doc_id", F.flatten(ids).alias("ids")))
 
 
