@@ -259,7 +259,7 @@ def _rx() -> str:
 
 
 _CLASS = _C + """, p0 AS (SELECT DISTINCT repo_id, path, string_split(path, '/') AS parts, lower(split_part(path, '/', -1)) AS name, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM c),
-p AS (SELECT *, list_has_any(parts, ['config', '.github', '.wgx']) OR ext IN ('.toml', '.yaml', '.yml', '.json', '.lock') AS conf FROM p0),
+p AS (SELECT *, list_has_any(parts, ['config', '.github']) OR ext IN ('.toml', '.yaml', '.yml', '.json', '.lock') AS conf FROM p0),
 cls AS (SELECT repo_id, path, ext, CASE WHEN conf AND list_contains(parts, 'contracts') THEN 'contract' WHEN conf THEN 'config' WHEN ext IN ('.md', '.rst', '.txt', '.adoc') OR list_contains(parts, 'docs') THEN 'doc'
   WHEN list_contains(parts, 'contracts') THEN 'contract' WHEN list_has_any(parts, ['tests', 'test']) OR name LIKE '%\\_test.py' ESCAPE '\\' OR name LIKE 'test\\_%' ESCAPE '\\' THEN 'test'
   WHEN ext IN ('.py', '.js', '.ts', '.tsx', '.jsx', '.rs', '.go', '.sh', '.bash', '.sql', '.java', '.c', '.cpp', '.h', '.css', '.html') OR list_has_any(parts, ['src', 'crates', 'scripts']) THEN 'source' ELSE 'other' END AS category,
