@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..session import stored
 from ..sources.tables import table
 
 QUERY = [("q1", 1, "catalog"), ("q1", 2, "review"), ("q2", 1, "snapshot"), ("q2", 1, "receipt"), ("q3", 1, "vertrag"), ("q4", 1, "lease"), ("q4", 2, "queue"), ("q4", 3, "filter")]
@@ -28,7 +29,7 @@ def _posts(spark: SparkSession, base: str) -> DataFrame:
 
 def _hits(spark: SparkSession, base: str) -> DataFrame:
     meta = chunks(spark, base, "chunk_id", "repo_id", "path", "start_line", "end_line", "layer")
-    return R.bm25_scores(_posts(spark, base), _query(spark)).join(meta, F.col("doc") == F.col("chunk_id")).drop("doc")
+    return R.bm25_scores(stored(_posts(spark, base)), _query(spark)).join(meta, F.col("doc") == F.col("chunk_id")).drop("doc")
 
 
 def _order() -> list:
@@ -140,7 +141,7 @@ def _gold_ranks(spark, base):
     gold = table(spark, base, "goldset", "item_id", "language", "category", "query_text", "passage").distinct()
     docs = table(spark, base, "documents", "doc_id", "text").distinct()
     q = gold.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.terms(F.col("query_text")))).alias("term")).withColumn("group_id", F.lit(1))
-    hits = R.bm25_scores(R.postings(docs, "doc_id", "text"), q)
+    hits = R.bm25_scores(stored(R.postings(docs, "doc_id", "text")), q)
     ranked = R.top_k(hits, 10, ["query_id"], [F.col("score"), F.col("doc")])
     body = docs.where("text is not null").withColumnRenamed("doc_id", "doc")
     rel = ranked.join(body, "doc").join(gold.select(F.col("item_id").alias("query_id"), "passage"), "query_id").where(F.expr("contains(lower(text), lower(substr(passage, 1, 60)))"))

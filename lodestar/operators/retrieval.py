@@ -56,7 +56,8 @@ def bm25_scores(posts: DataFrame, queries: DataFrame, n_docs: Column | None = No
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     need = queries.groupBy("query_id").agg(F.count_distinct("group_id").alias("n_groups"))
-    q = queries.distinct().join(df, "term").withColumns({"n": stats.select("n").scalar(), "avgdl": stats.select("avgdl").scalar()})
+    q = queries.distinct().join(df, "term").withColumn("stats", stats.select(F.struct("n", "avgdl").alias("s")).scalar())
+    q = q.select("*", "stats.n", "stats.avgdl").drop("stats")
     n = n_docs if n_docs is not None else F.col("n")
     q = q.withColumn("idf", F.greatest(F.lit(IDF_FLOOR), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     rows = hits.join(q, "term").join(lengths, "doc")
