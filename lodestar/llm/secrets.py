@@ -7,7 +7,7 @@ secret: placeholders, references to variables or vaults, words of a sentence, di
 and public keys are none.
 
 Defined cases: null and empty contents give no rows; a value over several lines counts on the line
-where it starts; repeated chunks give each place once; contents of any length are read whole.
+where it starts; repeated chunks give each place once; contents and values of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .trigrams import Postings, required, trigrams
 
-MASK = "REDACTED"
+MASK, LONG = "REDACTED", 400
 _B, _E = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
 _NAME = (
     r"(?:pass(?:word|wd|phrase|code)?|pwd|[_-]pw|[ \t\n\"'`]pw|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|"
@@ -31,18 +31,18 @@ _GIVEN = (
     r"(?P<name>" + _NAME + r"(?:[_-][a-z0-9]{2,4}|s|value|str)?)(?P<q>[\"'`]?)"
     r"(?P<op>\s*(?::\s*&?(?:'static\s+)?(?:str|String|string)\s*=|:=|=>|->|==?|:(?!:)|,)\s*\(?\s*|\s+(?:is|lautet|ist)\s+:?\s*|[ ]+(?=[\"']))"
 )
-_VALUE = r"(?P<o>b?[\"'`])(?P<quoted>(?:\\.|(?!(?P=o))[^\n\\]){5,400})(?P=o)|(?P<open>[^\s\"'`,;(){}\[\]<>]{6,400})"
+_VALUE = r"(?P<o>b?[\"'`])(?P<quoted>(?:\\.|(?!(?P=o))[^\n\\]){5,})(?P=o)|(?P<open>[^\s\"'`,;(){}\[\]<>]{6,})"
 EXPRESSIONS = {
     "cloud key": _B + r"(?P<v>A(?:KIA|SIA|ROA|IDA)[0-9A-Z]{16})" + _E,
-    "forge token": _B + r"(?P<v>gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{40,255}|glpat-[A-Za-z0-9_-]{20,64}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,})" + _E,
-    "chat token": _B + r"(?P<v>xox[abeoprs]-[0-9A-Za-z-]{10,200})" + _E,
-    "payment key": _B + r"(?P<v>[rsp]k_(?:live|test)_[0-9A-Za-z]{16,120})" + _E,
-    "service key": _B + r"(?P<v>AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,200}|SG\.[\w-]{16,64}\.[\w-]{16,64})" + _E,
+    "forge token": _B + r"(?P<v>gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,})" + _E,
+    "chat token": _B + r"(?P<v>xox[abeoprs]-[0-9A-Za-z-]{10,})" + _E,
+    "payment key": _B + r"(?P<v>[rsp]k_(?:live|test)_[0-9A-Za-z]{16,})" + _E,
+    "service key": _B + r"(?P<v>AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,})" + _E,
     "signed token": _B + r"(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{10,})",
     "private key": r"(?P<v>-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)?)",
-    "address": r"(?<=[A-Za-z0-9])://[^\s/:@\"'`<>{}$]{0,80}:(?P<v>[^\s/@\"'`]{3,120})@[A-Za-z0-9\[]",
-    "basic header": r"\b[Bb]asic[ ]+(?P<v>[A-Za-z0-9+/_-]{8,400}={0,2})",
-    "bearer header": r"\b[Bb]earer[ ]+(?P<v>[A-Za-z0-9._~+/-]{16,2000}=*)",
+    "address": r"(?<=[A-Za-z0-9])://[^\s/:@\"'`<>{}$]*:(?P<v>[^\s/@\"'`]{3,})@[A-Za-z0-9\[]",
+    "basic header": r"\b[Bb]asic[ ]+(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})",
+    "bearer header": r"\b[Bb]earer[ ]+(?P<v>[A-Za-z0-9._~+/-]{16,}=*)",
     "given name": r"(?i)" + _GIVEN + r"(?:" + _VALUE + r")",
 }
 COMPILED = {k: re.compile(p) for k, p in EXPRESSIONS.items()}
@@ -104,17 +104,27 @@ def _given(m: re.Match, text: str) -> tuple[int, int] | None:
     return (at, at + len(value)) if looks_secret(value) else None
 
 
+def _given_values(expression: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Values that names assign; in a LONG one that is no secret the search goes on, as it may hold others."""
+    at = 0
+    while m := expression.search(text, at):
+        at = m.end()
+        if (s := _given(m, text)) is not None:
+            yield s
+        elif at - m.end("op") > LONG:
+            at = m.end("op")
+
+
 def find(text: str, which: set[str] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret value, without overlaps, in order."""
     spans: list[tuple[int, int, str]] = []
     for kind, expression in COMPILED.items():
         if which is not None and kind not in which:
             continue
+        if kind == "given name":
+            spans += [(*s, kind) for s in _given_values(expression, text)]
+            continue
         for m in expression.finditer(text):
-            if kind == "given name":
-                if (s := _given(m, text)) is not None:
-                    spans.append((*s, kind))
-                continue
             v = m.group("v")
             if kind == "private key":
                 body = re.sub(r"-----[^-]*-----", "", v)

@@ -179,6 +179,21 @@ def test_secrets_and_decoys(spark):
     assert secrets.secrets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [400, 401, 5000])
+def test_secret_values_of_any_length(n):
+    v = "".join(random.Random(n).choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789", k=n))
+    given = [f'secret = "{v}"', f"password: {v}\n", f'url = "https://{v}:S3cr3tpw@h/x"', f'u = "https://svc:{v}@h/x"', f"x = sk-{v}", f"x = xoxb-{v}", f"x = ghp_{v}", f"x = sk_live_{v}", f"Authorization: Basic {v}", f"Authorization: Bearer {v}"]
+    for t in given:
+        found = secrets.find(t)
+        assert len(found) == 1 and secrets.redact(t, found) == t.replace("S3cr3tpw" if t.startswith("url") else t[found[0][0] : found[0][1]], "REDACTED"), t[:20]
+        assert t.startswith("url") or t[found[0][0] : found[0][1]].endswith(v)
+
+
+def test_a_long_value_that_is_no_secret_hides_none():
+    t = "password 'is " + "a word " * 100 + 'api_key = "Zx81Qw72Lm93Vb64" ' + "and more'"
+    assert [t[a:b] for a, b, _ in secrets.find(t)] == ["Zx81Qw72Lm93Vb64"]
+
+
 # --- p6
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=5))
