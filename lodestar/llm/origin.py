@@ -35,7 +35,7 @@ KEYWORDS = frozenset(
 GENERATED_SHARE, MARKED_SHARE, LEAST_TOKENS = 0.25, 0.65, 90
 BLOB_SHARE, BLOB_LITERAL, BLOB_CHARS, BLOB_GRAMMAR = 0.5, 32, 200, 0.55
 MINIFIED_BLANKS, MINIFIED_LINE, MINIFIED_NAME = 0.08, 100, 5.5
-COPIED_SHARE, PICK = 0.6, 8
+COPIED_SHARE, LEAST_PAIRS = 0.6, 3
 BATCH_TOKENS = 400_000
 
 _COMMENT = r"^\s*(?:#|//|--|/?\*+|<!--|;|\"\"\")"
@@ -119,7 +119,7 @@ def _figures(paths: list[str], contents: list[str], classes: _Classes) -> Iterat
         text = [x.strip() for x in t.split("\n")]
         text = [x for x in text if len(x) > 3]
         pairs = {hash_pair(a, b) for a, b in zip(text, text[1:])}
-        yield {"kind": kind, "marked": marked, "n_tokens": n, "grammar_share": share, "literal_share": len(literals[i]) / max(1, bare), "line_rules": [x for x in pairs if x % PICK == 0]}
+        yield {"kind": kind, "marked": marked, "n_tokens": n, "grammar_share": share, "literal_share": len(literals[i]) / max(1, bare), "line_rules": list(pairs)}
 
 
 def hash_pair(a: str, b: str) -> int:
@@ -157,7 +157,7 @@ def file_origins(chunks: DataFrame) -> DataFrame:
     own = own.groupBy("rule").agg(F.min("repo_id").alias("a_repo"), F.max("repo_id").alias("b_repo"))
     rest = figures.where("not marked and kind is null").select("repo_id", "path", F.size("line_rules").alias("n"), F.explode("line_rules").alias("rule"))
     met = rest.join(own, "rule").where((F.col("a_repo") != F.col("repo_id")) | (F.col("b_repo") != F.col("repo_id")))
-    copied = met.groupBy("repo_id", "path", "n").agg(F.count_distinct("rule").alias("shared")).where((F.col("shared") >= COPIED_SHARE * F.col("n")) & (F.col("n") >= 3))
+    copied = met.groupBy("repo_id", "path", "n").agg(F.count_distinct("rule").alias("shared")).where((F.col("shared") >= COPIED_SHARE * F.col("n")) & (F.col("n") >= LEAST_PAIRS))
     same = (F.col("f.path") == F.col("c.path")) & F.col("f.repo_id").eqNullSafe(F.col("c.repo_id"))
     judged = figures.alias("f").join(copied.alias("c"), same, "left").select("f.*", "c.shared")
     origin = F.when(F.col("marked"), "vendored").otherwise(F.coalesce("kind", F.when(F.col("shared").isNotNull(), F.lit("vendored"))))

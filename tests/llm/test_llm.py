@@ -223,6 +223,16 @@ def test_origins(spark):
     assert origin.file_origins(df.limit(0)).count() == 0
 
 
+def test_every_line_pair_of_a_small_copy_counts(spark):
+    rows = []
+    for k in range(12):
+        lib = "".join(f"name_{k}_{i} = load({i * 7 + k}, 'part {i}')\n" for i in range(9))
+        rows += [("r", f"vendor/l{k}.py", 0, lib), ("q", f"src/l{k}.py", 0, lib), ("q", f"src/own{k}.py", 0, "".join(lib.splitlines(True)[:4]) + "".join(f"own_{k}_{i} = {i}\n" for i in range(9)))]
+    df = spark.createDataFrame(rows, "repo_id string, path string, start_byte long, content string")
+    got = {(x.repo_id, x.path) for x in origin.file_origins(df).collect()}
+    assert got == {("r", f"vendor/l{k}.py") for k in range(12)} | {("q", f"src/l{k}.py") for k in range(12)}
+
+
 # --- p7, p8
 def greedy(data: bytes, vocabulary: set[bytes]) -> int:
     n = i = 0
