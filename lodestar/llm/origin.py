@@ -4,8 +4,11 @@ For each file a Re-Pair grammar is inferred over its token classes and its size
 number of tokens (``grammar_share``): a file written by a tool reuses a few rules all over. A
 heading that names a tool, or a file name that tools give, lowers the reuse asked for. Literals
 that fill most of a file and that the grammar of their characters hardly shortens make a data
-blob; dense lines of short names make a minified file. Vendoring: the rules of neighbouring lines
-that a file marked as a copy (path or heading) shares with files of other repositories carry the mark on.
+blob; dense lines of short names make a minified file. Vendoring: the rules that a file marked as a
+copy (path or heading) shares with files of other repositories carry the mark on. Rules are those of
+a second Re-Pair grammar over the token texts, compared as expanded, and the pairs of neighbouring
+lines, which also stand for text that nothing repeats; either must be shared to COPIED_SHARE. The mark
+tells the copy from the original: without one, equal files in two repositories are not vendored.
 
 Defined cases: files with a null content in any chunk are none; empty files are none; texts of any
 length are read whole; repeated rows count once; ties cannot arise, as every file is judged by itself.
@@ -18,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .files import source_files
-from .repair import grammar_sizes
+from .repair import grammar_rules, grammar_sizes
 
 TOKENS = re.compile(
     r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|[A-Za-z_$][\w$]*|\d[\w.]*|\n[ \t]*|[^\s\w]'
@@ -35,7 +38,7 @@ KEYWORDS = frozenset(
 GENERATED_SHARE, MARKED_SHARE, LEAST_TOKENS = 0.25, 0.65, 90
 BLOB_SHARE, BLOB_LITERAL, BLOB_CHARS, BLOB_GRAMMAR = 0.5, 32, 200, 0.55
 MINIFIED_BLANKS, MINIFIED_LINE, MINIFIED_NAME = 0.08, 100, 5.5
-COPIED_SHARE, LEAST_PAIRS = 0.6, 3
+COPIED_SHARE, LEAST_PAIRS, RULE_TOKENS = 0.6, 3, 12
 BATCH_TOKENS = 400_000
 
 _COMMENT = r"^\s*(?:#|//|--|/?\*+|<!--|;|\"\"\")"
@@ -77,13 +80,29 @@ class _Classes(dict):
     _names: dict[str, int] = {}
 
 
-def _figures(paths: list[str], contents: list[str], classes: _Classes) -> Iterator[dict]:
+class _Hashes(dict):
+    """Stable 64-bit hash of a token text."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        v = xxhash.xxh64_intdigest(token)
+        if len(self) < 500_000:
+            self[token] = v
+        return v
+
+
+def _figures(paths: list[str], contents: list[str], classes: _Classes, hashes: _Hashes) -> Iterator[dict]:
     """Figures and kind of each file of one batch."""
     look = classes.__getitem__
     tokens = [TOKENS.findall(t) for t in contents]
     flat = np.fromiter((look(x) for ts in tokens for x in ts), dtype=np.int64)
     lengths = [len(ts) for ts in tokens]
     start, rules = grammar_sizes(flat, lengths)
+    code = [[x for x in ts if x[0] != "\n"] for ts in tokens]
+    named = hashes.__getitem__
+    of, keys, covered = grammar_rules(np.fromiter((named(x) for ts in code for x in ts), dtype=np.uint64), [len(ts) for ts in code], RULE_TOKENS)
+    ends = np.searchsorted(of, np.arange(len(code) + 1))
     rows, literals = [], []
     for p, t, ts in zip(paths, contents, tokens):
         bare = sum(map(len, t.split()))
@@ -119,7 +138,7 @@ def _figures(paths: list[str], contents: list[str], classes: _Classes) -> Iterat
         text = [x.strip() for x in t.split("\n")]
         text = [x for x in text if len(x) > 3]
         pairs = {hash_pair(a, b) for a, b in zip(text, text[1:])}
-        yield {"kind": kind, "marked": marked, "n_tokens": n, "grammar_share": share, "literal_share": len(literals[i]) / max(1, bare), "line_rules": list(pairs)}
+        yield {"kind": kind, "marked": marked, "n_tokens": n, "grammar_share": share, "literal_share": len(literals[i]) / max(1, bare), "line_rules": list(pairs), "n_code": len(code[i]), "rules": (keys[ends[i] : ends[i + 1]] >> np.uint64(1)).astype(np.int64), "rule_tokens": covered[ends[i] : ends[i + 1]].astype(np.int32)}
 
 
 def hash_pair(a: str, b: str) -> int:
@@ -128,18 +147,18 @@ def hash_pair(a: str, b: str) -> int:
     return xxhash.xxh64_intdigest(a + "\n" + b) >> 1
 
 
-FIGURES = "repo_id string, path string, kind string, marked boolean, n_tokens int, grammar_share double, literal_share double, line_rules array<long>"
+FIGURES = "repo_id string, path string, kind string, marked boolean, n_tokens int, grammar_share double, literal_share double, line_rules array<long>, n_code int, rules array<long>, rule_tokens array<int>"
 
 
 def file_figures(chunks: DataFrame) -> DataFrame:
     """Grammar figures of every file that is whole."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = _Classes()
+        classes, hashes = _Classes(), _Hashes()
         for b in batches:
             size = b["content"].str.len().cumsum() // (BATCH_TOKENS * 4)
             for _, part in b.groupby(size):
-                rows = pd.DataFrame(list(_figures(part["path"].tolist(), part["content"].tolist(), classes)))
+                rows = pd.DataFrame(list(_figures(part["path"].tolist(), part["content"].tolist(), classes, hashes)))
                 rows.insert(0, "path", part["path"].to_numpy())
                 rows.insert(0, "repo_id", part["repo_id"].to_numpy())
                 yield rows
@@ -147,17 +166,26 @@ def file_figures(chunks: DataFrame) -> DataFrame:
     return source_files(chunks).mapInPandas(judge, FIGURES)
 
 
+def _carried(figures: DataFrame, rules: Column, whole: Column, least: int) -> DataFrame:
+    """(repo_id, path) of the files that consist to COPIED_SHARE of rules of marked files of other repositories."""
+    rows = figures.select("repo_id", "path", "marked", "kind", whole.alias("n"), F.explode(rules).alias("r")).select("*", "r.rule", "r.weight").drop("r")
+    # a rule that is in marked files of two repositories stands for either
+    own = rows.where("marked").groupBy("rule").agg(F.min("repo_id").alias("a_repo"), F.max("repo_id").alias("b_repo"))
+    rest = rows.where("not marked and kind is null").where(F.col("n") >= least)
+    met = rest.join(own, "rule").where((F.col("a_repo") != F.col("repo_id")) | (F.col("b_repo") != F.col("repo_id")))
+    shared = met.groupBy("repo_id", "path", "n").agg(F.sum("weight").alias("shared"))
+    return shared.where(F.col("shared") >= COPIED_SHARE * F.col("n")).select("repo_id", "path")
+
+
 def file_origins(chunks: DataFrame) -> DataFrame:
     """(repo_id, path, origin, grammar_share, ...) of the files that are not hand-written."""
     from ..session import stored
 
     figures = stored(file_figures(chunks))
-    own = figures.where("marked").select("repo_id", F.explode("line_rules").alias("rule")).distinct()
-    # a rule that is in marked files of two repositories stands for either
-    own = own.groupBy("rule").agg(F.min("repo_id").alias("a_repo"), F.max("repo_id").alias("b_repo"))
-    rest = figures.where("not marked and kind is null").select("repo_id", "path", F.size("line_rules").alias("n"), F.explode("line_rules").alias("rule"))
-    met = rest.join(own, "rule").where((F.col("a_repo") != F.col("repo_id")) | (F.col("b_repo") != F.col("repo_id")))
-    copied = met.groupBy("repo_id", "path", "n").agg(F.count_distinct("rule").alias("shared")).where((F.col("shared") >= COPIED_SHARE * F.col("n")) & (F.col("n") >= LEAST_PAIRS))
+    lines = F.transform("line_rules", lambda r: F.struct(r.alias("rule"), F.lit(1).alias("weight")))
+    grammar = F.transform(F.arrays_zip("rules", "rule_tokens"), lambda r: F.struct(r["rules"].alias("rule"), r["rule_tokens"].alias("weight")))
+    copied = _carried(figures, lines, F.size("line_rules"), LEAST_PAIRS).union(_carried(figures, grammar, F.col("n_code"), LEAST_TOKENS))
+    copied = copied.distinct().withColumn("shared", F.lit(True))
     same = (F.col("f.path") == F.col("c.path")) & F.col("f.repo_id").eqNullSafe(F.col("c.repo_id"))
     judged = figures.alias("f").join(copied.alias("c"), same, "left").select("f.*", "c.shared")
     origin = F.when(F.col("marked"), "vendored").otherwise(F.coalesce("kind", F.when(F.col("shared").isNotNull(), F.lit("vendored"))))

@@ -223,6 +223,40 @@ def test_origins(spark):
     assert origin.file_origins(df.limit(0)).count() == 0
 
 
+def test_expanded_rules_name_what_they_stand_for():
+    import numpy as np
+
+    r = random.Random(8)
+    word = [r.randrange(1 << 64) for _ in range(40)]
+    seqs = [[r.choice(word[:9]) for _ in range(300)], word * 3, [r.choice(word) for _ in range(50)] + word * 3, [], [5]]
+    hashes = lambda some: np.array([x for s in some for x in s], dtype=np.uint64)
+    of, keys, tokens = repair.grammar_rules(hashes(seqs), [len(s) for s in seqs], 8)
+    for i, s in enumerate(seqs):
+        alone = repair.grammar_rules(hashes([s]), [len(s)], 8)
+        assert (keys[of == i] == alone[1]).all() and (tokens[of == i] == alone[2]).all() and tokens[of == i].sum() <= len(s)
+        base, inside = 0x9E3779B97F4A7C15, set()
+        for a in range(len(s)):
+            v = 0
+            for b in range(a, len(s)):
+                v = (v * base + s[b]) % (1 << 64)
+                inside.add(v)
+        assert set(keys[of == i].tolist()) <= inside
+    assert tokens[of == 1].sum() >= 80 and set(keys[of == 1].tolist()) & set(keys[of == 2].tolist())
+
+
+def test_shared_grammar_rules_carry_the_mark(spark):
+    r = random.Random(4)
+    ends = [" + ", " * ", ", ", ".", " - ", " < ", " or ", "[0], ", "() / "]
+    lib = "".join(f"{r.choice(WORDS)} = " + "".join(r.choice(WORDS) + r.choice(ends) for _ in range(r.randrange(3, 9))) + "1\n" for _ in range(14)) * 2
+    wrapped = lib.replace(" = ", " =\n    ").replace(" + ", " +\n    ").replace(", ", ",\n    ")
+    other = re.sub(r"[a-z]{2,}", lambda m: m[0] + "_", lib)
+    rows = [("r", "vendor/pool.py", 0, lib), ("q", "src/pool.py", 0, wrapped), ("r", "src/pool.py", 0, wrapped), ("q", "src/tank.py", 0, other)]
+    df = spark.createDataFrame(rows, "repo_id string, path string, start_byte long, content string")
+    figures = {x.path: x for x in origin.file_figures(df).where("repo_id = 'q' or marked").collect()}
+    assert not set(figures["vendor/pool.py"].line_rules) & set(figures["src/pool.py"].line_rules)
+    assert {(x.repo_id, x.path, x.origin) for x in origin.file_origins(df).collect() if x.origin == "vendored"} == {("r", "vendor/pool.py", "vendored"), ("q", "src/pool.py", "vendored")}
+
+
 def test_every_line_pair_of_a_small_copy_counts(spark):
     rows = []
     for k in range(12):
