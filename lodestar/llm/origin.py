@@ -117,7 +117,6 @@ def _figures(paths: list[str], contents: list[str], classes: _Classes, hashes: _
         n = lengths[i]
         share = (int(start[i]) + 2 * int(rules[i])) / n if n else 1.0
         dense = (int(l_start[i]) + 2 * int(l_rules[i])) / len(literals[i]) if full else 0.0
-        head = "\n".join(t.split("\n", 15)[:15])
         prose = bool(PROSE.search(p))
         named = bool(MADE_NAME.search(p))
         made = bool(MADE.search(t)) and not prose
@@ -134,7 +133,7 @@ def _figures(paths: list[str], contents: list[str], classes: _Classes, hashes: _
             kind = "minified"
         elif n >= LEAST_TOKENS and share <= GENERATED_SHARE:
             kind = "generated"
-        marked = not prose and bool(COPIED_PATH.search(p.replace("\\", "/")) or COPIED.search(head))
+        marked = not prose and bool(COPIED_PATH.search(p.replace("\\", "/")) or COPIED.search(t))
         text = [x.strip() for x in t.split("\n")]
         text = [x for x in text if len(x) > 3]
         pairs = {hash_pair(a, b) for a, b in zip(text, text[1:])}
