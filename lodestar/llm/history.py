@@ -11,8 +11,8 @@ insertion; any run of SEGMENT + WINDOW - 1 = 9 words that two texts share yields
 segment. One inserted, deleted or replaced word costs at least five sequences on both sides
 together, hence at share 0.6 there are at most (|A| + |B|) / 20 places of change and the longest
 run between them has nine words or more: every pair that differs by an edit script is met.
-Segments that a sample shows to be frequent are stored only for texts that consist of them to a
-quarter or more (a pair at 0.6 that meets only in frequent segments consists of them on both sides).
+Segments that a sample shows to be frequent come last in that order, but those that a text has
+are stored for it: where the runs between its changes are frequent ones, it meets others in nothing else.
 
 Defined cases: null content: only its digest decides; fewer than MIN_WORDS words: only equality;
 repeated rows count once; null batch numbers are never earlier or later than anything; any further
@@ -34,7 +34,6 @@ from ..session import broadcast_if_small, stored
 
 SEGMENT, WINDOW, MIN_WORDS, SHARE = 5, 5, 40, 0.6
 SAMPLE_IN, SAMPLE_SEEN, FREQUENT_MOST = 8, 3, 1 << 20
-HOT_PART = 0.25
 WORDS = re.compile(r"\w+")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -107,11 +106,10 @@ def features(contents: list[str | None], frequent: np.ndarray, ids: _WordIds) ->
         view = np.lib.stride_tricks.sliding_window_view(o, min(WINDOW, len(o)))
         at = np.unique(view.argmin(1) + np.arange(len(view))) + a
         keys, is_hot = seg[at], often[at]
-        hot = np.unique(keys[is_hot]) if is_hot.mean() >= HOT_PART else keys[:0]
         t = np.unique(tri[a : b - 2])
         bits = np.bincount((t >> np.uint64(17)).astype(np.int64) & 255, minlength=256) & 1
         sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
-        yield len(t), sketch, (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.unique(keys[~is_hot]).view(np.int64), hot.view(np.int64)
+        yield len(t), sketch, (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.unique(keys[~is_hot]).view(np.int64), np.unique(keys[is_hot]).view(np.int64)
 
 
 def _contents(chunks: DataFrame) -> DataFrame:

@@ -77,6 +77,19 @@ def test_history_incremental_equals_whole(spark):
     assert ids == {i for i in want if next(r for r in rows if r[0] == i)[3] and len(next(r for r in rows if r[0] == i)[3].split()) >= 40}
 
 
+def test_frequent_segments_of_a_text_are_all_kept():
+    import numpy as np
+
+    ids, met = history._WordIds(), 0
+    for k in range(200):
+        old = text(1000 + k, 40)
+        new = [f"new{k}x{i}" if i % 11 == 5 else w for i, w in enumerate(old)]
+        frequent = next(history.segment_keys([" ".join(old)], ids))
+        a, b = history.features([" ".join(old), " ".join(new)], np.sort(frequent), ids)
+        met += bool((set(a[3]) | set(a[4])) & (set(b[3]) | set(b[4])))
+    assert met == 200
+
+
 def test_history_empty(spark):
     df = spark.createDataFrame([], "chunk_id string, content_sha256 string, batch_no int, content string")
     assert history.chunks_seen_before(df).count() == 0
