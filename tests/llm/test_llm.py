@@ -284,7 +284,7 @@ def test_vendored_heading_below_a_long_licence(spark):
     licence = "".join(f"# Clause {i} of the licence: keep this notice.\n" for i in range(30))
     rows = [("r", "src/x.py", 0, licence + "# vendored from left-pad 1.3\nx = 1\n"), ("r", "src/y.py", 0, licence + "note = 'vendored from nowhere'\n")]
     df = spark.createDataFrame(rows, "repo_id string, path string, start_byte long, content string")
-    assert [(x.path, x.origin) for x in origin.file_origins(df).collect()] == [("src/x.py", "vendored")]
+    assert [x.path for x in origin.file_origins(df).where("origin = 'vendored'").collect()] == ["src/x.py"]
 
 
 # --- p7, p8
