@@ -1,18 +1,18 @@
 """Byte-level BPE inside the JVM.
 
-Texts are cut into pieces by the tokenizer's pattern. A higher-order fold merges the neighbours of
-lowest rank, again and again, over the bytes of a piece; ranks come from a literal map that is
-kept as two arrays and searched by hash, as a map value in Spark is searched from its start and is
-built anew, object by object, in every task. Distinct frequent pieces
-are folded once: the HOT ones of a sample of the documents become a second literal of bounded
-size, which only saves work and changes no result. Every other piece is folded where it stands, so
-no text, piece or list of ids is shuffled for the encoding itself.
-
-Bytes are written as Latin-1 characters, one per byte. Defined cases: null and empty texts give
-the empty list; blank texts are encoded as they are; a piece of any length is folded whole (its
-cost grows with the square of its length, and the pattern ends pieces at every change of kind of
-character); pieces of LONG bytes and more go through an equal heap merge in Python instead;
-repeated rows of a document count once; decoding concatenates the ids' bytes.
+Texts are cut into words (pieces) by the tokenizer's pattern. A higher-order fold merges the neighbours
+of lowest rank, again and again, over the byte array of a word; the array holds token ids, and a literal
+map leads from two neighbouring ids to the id (the rank) of both together. Beside the tokens of the
+vocabulary a literal of bounded size holds the ids of the HOT most frequent words of a sample, folded
+once; it saves work and changes no result. Of all other words each document's distinct ones are folded
+once and put in by their number, so no text, word or list of ids is shuffled.
+
+The literal maps are two flat arrays searched by hash, as a map value in Spark is searched from its
+start and is built anew in every task. Defined cases: null and empty texts give the empty list; blank
+texts are encoded as they are; a fold costs the square of a word's length, so words of LONG bytes and
+more (the pattern ends words at every change of kind of character) take an equal heap merge in Python;
+repeated rows of a document count once, of differing texts the greatest; rows with a null doc_id are one
+document; decoding concatenates the ids' bytes.
 """
 
 from __future__ import annotations
@@ -24,14 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..session import broadcast_if_small
+
 # Fixed value: the published cutting pattern of the vocabulary, with Unicode blanks.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HOT, LONG = 1 << 13, 64
-HOT_FROM = 8  # one document of so many is looked at for frequent pieces
+# The same alternatives with the frequent ones first: no two of those before the blanks begin alike, but for the apostrophe.
+CUT = r"(?U) ?\p{L}+| ?\p{N}+|'(?:[sdmt]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+HOT, LONG = 1 << 13, 256
+HOT_FROM = 8  # one document of so many is looked at for frequent words
+ID_BITS = 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,14 +58,14 @@ def _longs(df: DataFrame, values: np.ndarray) -> Column:
 
 @dataclass(frozen=True)
 class LiteralMap:
-    """A constant map from strings to longs, searched in two places by 64-bit hash (cuckoo hashing)."""
+    """A constant map to longs, searched in two places by the key's 64-bit hash (cuckoo hashing)."""
 
     hashes: Column
     values: Column
     bits: int
 
     def __call__(self, key: Column) -> Column:
-        return F.get(F.transform(F.array(F.xxhash64(key)), self.at), F.lit(0))
+        return self.at(F.xxhash64(key))
 
     def at(self, h: Column) -> Column:
         """Value of a key's hash, null if there is none."""
@@ -91,29 +97,36 @@ def literal_map(df: DataFrame, hashed: list[tuple[int, int]]) -> LiteralMap:
     return LiteralMap(_longs(df, hashes), _longs(df, values), bits)
 
 
-def rank_literal(df: DataFrame, ranks: dict[bytes, int]) -> LiteralMap:
-    rows = df.sparkSession.createDataFrame(pd.DataFrame({"k": [t.decode("latin-1") for t in ranks], "v": list(ranks.values())}), "k string, v long")
-    return literal_map(df, [tuple(r) for r in rows.select(F.xxhash64("k"), "v").collect()])
+def _hash(value: bytes) -> int:
+    """``xxhash64`` of Spark, signed."""
+    v = xxhash.xxh64_intdigest(value, 42)
+    return v - (1 << 64) if v >> 63 else v
+
+
+def pair_literal(df: DataFrame, ranks: dict[bytes, int]) -> LiteralMap:
+    """The rank of each two tokens that together are a token, by both ids: at most one entry for each cut of a token."""
+    both = ((ranks[t[:i]] << ID_BITS | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+    return literal_map(df, [(_hash(k.to_bytes(8, "little")), r) for k, r in both])
+
 
+def fold(latin: Column, ranks: dict[bytes, int], pairs: LiteralMap) -> Column:
+    """Ids of one word, a byte to a character: merge the leftmost neighbours of lowest rank until none has a rank."""
+    of_byte = F.array(*[F.lit(ranks[bytes([i])]).cast("long") for i in range(256)])
+    ids = F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.get(of_byte, F.ascii(c)))
 
-def fold(latin: Column, rank: LiteralMap) -> Column:
-    """Ids of one piece: merge the leftmost neighbours of lowest rank until none has a rank."""
-    parts = F.filter(F.split(latin, ""), lambda x: x != "")
+    def merge(t: Column, _: Column) -> Column:
+        hashes = F.transform(t, lambda x, i: F.xxhash64(F.shiftleft(x, ID_BITS).bitwiseOR(F.get(t, i + 1))))
 
-    def merge(acc: Column, _: Column) -> Column:
-        n = F.size(acc)
-        ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.concat(F.get(acc, i - 1), F.get(acc, i))))
-        pick = lambda r: F.array_position(r, F.array_min(r)).cast("int")
-        joined = lambda at: F.concat(
-            F.slice(acc, F.lit(1), at - 1), F.array(F.concat(F.get(acc, at - 1), F.get(acc, at))), F.slice(acc, at + 2, F.greatest(n - at - 1, F.lit(0)))
-        )
-        # a one-element array binds the place, so that the ranks are looked up once
-        step = lambda r: F.get(F.transform(F.array(F.coalesce(pick(r), F.lit(0))), lambda at: F.when(at > 0, joined(at)).otherwise(acc)), F.lit(0))
-        return F.when(n < 2, acc).otherwise(F.get(F.transform(F.array(ranks), step), F.lit(0)))
+        def lowest(r: Column) -> Column:
+            least = F.array_min(r)
+            at = F.array_position(r, least).cast("int")
+            return F.when(at > 0, F.concat(F.slice(t, F.lit(1), at - 1), F.array(least), F.slice(t, at + 2, F.size(t)))).otherwise(t)
 
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), parts, merge)
-    whole = rank(latin)
-    return F.when(whole.isNotNull(), F.array(whole.cast("int"))).otherwise(F.transform(merged, lambda p: rank(p).cast("int")))
+        # a one-element array binds the ranks, so that they are looked up once
+        return F.when(F.size(t) < 2, t).otherwise(F.get(F.transform(F.array(F.transform(hashes, pairs.at)), lowest), F.lit(0)))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(latin) - 1, F.lit(1)))
+    return F.transform(F.aggregate(rounds, ids, merge), lambda x: x.cast("int"))
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -148,56 +161,62 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), 0)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CUT), 0)
 
 
-# Runs that may hold a piece of LONG bytes: 16 characters of one kind at least.
-_LONG_RUN = r"(?U)\p{L}{15,}|\p{N}{15,}|[^\s\p{L}\p{N}]{15,}|\s{16,}"
+def _latin(word: Column) -> Column:
+    return F.decode(F.encode(word, "utf-8"), "ISO-8859-1")
 
 
-def hot_pieces(documents: DataFrame, rank: LiteralMap) -> DataFrame:
-    """(k, v): the most frequent pieces of a sample and their ids."""
+def hot_words(documents: DataFrame) -> DataFrame:
+    """The most frequent words of a sample."""
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_FROM)) == 0)
-    words = sample.select(F.explode(pieces(F.coalesce("text", F.lit("")))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    top = words.where(F.octet_length("k") < LONG).orderBy(F.desc("n"), "k").limit(HOT)
-    return top.repartition(8, "k").select("k", fold(_latin(F.col("k")), rank).alias("v"))
+    words = sample.select(F.explode(pieces(F.col("text"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return words.where(F.octet_length("p") < LONG).orderBy(F.desc("n"), "p").limit(HOT)
+
+
+def word_literals(documents: DataFrame, ranks: dict[bytes, int], pairs: LiteralMap) -> tuple[LiteralMap, Column]:
+    """Words of known ids: the id of a token, the place in the second literal of the ids of a frequent word."""
+    tokens = {_hash(t): r for t, r in ranks.items()}
+    hot = hot_words(documents).repartition(8, "p").select(F.xxhash64("p").alias("h"), fold(_latin(F.col("p")), ranks, pairs).alias("ids")).collect()
+    hot = [(r["h"], list(r["ids"])) for r in hot if r["h"] not in tokens]
+    ends = np.cumsum([0, *(len(v) for _, v in hot)])
+    runs = [(h, (int(ends[i]) + 1) << ID_BITS | int(ends[i + 1]) - 1) for i, (h, _) in enumerate(hot)]
+    return literal_map(documents, [*tokens.items(), *runs]), _longs(documents, np.array([x for _, v in hot for x in v] or [0], dtype=np.int64))
 
 
-def _latin(piece: Column) -> Column:
-    return F.decode(F.encode(piece, "utf-8"), "ISO-8859-1")
+def _once(documents: DataFrame) -> DataFrame:
+    """One row per document; only the texts of keys that come more than once are shuffled."""
+    docs = documents.select("doc_id", "text")
+    many = broadcast_if_small(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    same = lambda d: docs.alias("d").join(many.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), d).select("d.*")
+    return same("left_anti").unionByName(same("left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids) of every document."""
-    docs = documents.groupBy("doc_id").agg(F.max("text").alias("text"))
-    rank = rank_literal(documents, ranks)
-    hot = [(h, list(v)) for h, v in hot_pieces(documents.select("doc_id", "text"), rank).select(F.xxhash64("k"), "v").collect()]
-    ends = np.cumsum([0, *(len(v) for _, v in hot)])
-    # a piece of one token is its id, any other the place of its ids in ``flat``
-    places = literal_map(documents, [(h, v[0] if len(v) == 1 else (int(ends[i]) + 1) << 24 | int(ends[i + 1]) - 1) for i, (h, v) in enumerate(hot)])
-    flat = _longs(documents, np.array([x for _, v in hot for x in v] or [0], dtype=np.int64))
-
-    def ids_of(p: Column, v: Column) -> Column:
-        """Ids of one piece: read from the hot ones by its place, else folded."""
-        run = F.sequence(F.shiftright(v, 24) - 1, v.bitwiseAND(F.lit((1 << 24) - 1)))
-        return (
-            F.when(v < 1 << 24, F.array(v.cast("int"))).when(v.isNull(), fold(_latin(p), rank)).otherwise(F.transform(run, lambda i: F.get(flat, i.cast("int")).cast("int")))
-        )
-
-    long = F.coalesce(F.col("text").rlike(_LONG_RUN), F.lit(False))
-    cut = docs.withColumn("long", long).select("doc_id", "long", pieces(F.coalesce("text", F.lit(""))).alias("ps"))
-    cut = cut.withColumn("vs", F.transform(F.transform("ps", lambda p: F.xxhash64(p)), places.at))
-    plain = cut.where("not long").select("doc_id", F.flatten(F.zip_with("ps", "vs", ids_of)).alias("ids"))
+    pairs = pair_literal(documents, ranks)
+    places, flat = word_literals(documents.select("doc_id", "text"), ranks, pairs)
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
     def merged(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ps: [heap_merge(p.encode(), shared.value) for p in ps])
+        return rows.map(lambda words: [heap_merge(w.encode(), shared.value) for w in words])
 
-    whole = cut.where("long").withColumn("ls", F.array_distinct(F.filter("ps", lambda p: F.octet_length(p) >= LONG)))
-    whole = whole.withColumn("own", F.map_from_arrays("ls", merged("ls")))
-    ids = F.zip_with("ps", "vs", lambda p, v: F.when(F.octet_length(p) >= LONG, F.element_at(F.col("own"), p)).otherwise(ids_of(p, v)))
-    return plain.unionByName(whole.select("doc_id", F.flatten(ids).alias("ids")))
+    def ids_of(p: Column, v: Column) -> Column:
+        """Ids of one word: read by its place, or those of the document's own word."""
+        run = F.sequence(F.shiftright(v, ID_BITS) - 1, v.bitwiseAND(F.lit((1 << ID_BITS) - 1)))
+        own = F.get("put", F.array_position("own", p).cast("int") - 1)
+        return F.when(v < 1 << ID_BITS, F.array(v.cast("int"))).when(v.isNull(), own).otherwise(F.transform(run, lambda i: F.get(flat, i.cast("int")).cast("int")))
+
+    cut = _once(documents).select("doc_id", pieces(F.col("text")).alias("ps"))
+    cut = cut.withColumn("vs", F.transform(F.transform("ps", lambda p: F.xxhash64(p)), places.at))
+    cut = cut.withColumn("own", F.array_distinct(F.filter("ps", lambda p, i: F.get("vs", i).isNull())))
+    cut = cut.withColumn("long", F.filter("own", lambda p: F.octet_length(p) >= LONG)).withColumn("merged", merged("long"))
+    of_long = lambda p: F.get("merged", F.array_position("long", p).cast("int") - 1)
+    put = cut.withColumn("put", F.transform("own", lambda p: F.when(F.octet_length(p) < LONG, fold(_latin(p), ranks, pairs)).otherwise(of_long(p))))
+    # ``put`` is named twice, so that it is computed once and not for every word
+    return put.select("doc_id", F.when(F.size("put") >= 0, F.flatten(F.zip_with("ps", "vs", ids_of))).alias("ids"))
 
 
 def decode(ids: Column, ranks: dict[bytes, int], df: DataFrame) -> Column:
