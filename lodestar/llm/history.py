@@ -1,18 +1,26 @@
 """New batches against all history: a segment index for bounded edit distance.
 
-Near means: of all distinct three-word sequences of two texts the share found in both is at
-least ``share``. That is a bound on an edit distance: with both texts written as their sorted
-distinct sequences A and B, insertions plus deletions |A \\ B| + |B \\ A| may be at most
-(1 - share) / (1 + share) * (|A| + |B|); ``bounded`` verifies exactly that.
-
-Candidates come from stored segments. Segments of SEGMENT words are not cut at fixed offsets but
-taken at local minima of a rarity order among WINDOW neighbours, so both texts cut alike behind an
-insertion; any run of SEGMENT + WINDOW - 1 = 9 words that two texts share yields a shared
-segment. One inserted, deleted or replaced word costs at least five sequences on both sides
-together, hence at share 0.6 there are at most (|A| + |B|) / 20 places of change and the longest
-run between them has nine words or more: every pair that differs by an edit script is met.
-Segments that a sample shows to be frequent come last in that order, but those that a text has
-are stored for it: where the runs between its changes are frequent ones, it meets others in nothing else.
+Near means: of all distinct three-word sequences of two texts the share found in both is at least
+``share``. That is a bound on an edit distance: with both texts written as their sorted distinct
+sequences A and B, insertions plus deletions |A \\ B| + |B \\ A| may be at most
+(1 - share) / (1 + share) * (|A| + |B|); ``verified`` counts exactly that, on 64-bit hashes.
+
+Index. A text of L words is cut into L // size segments of ``size`` words at fixed, evenly spaced
+places, so their number depends on the length alone. An inserted, deleted or replaced word costs at
+least five sequences on both sides together, so a near pair has at most 2c|A| / (5 - c) places of
+change, c = (1 - share) / (1 + share), and ``segment_words`` takes the largest size that leaves more
+segments than that: one segment of the earlier text at least (``need``) stands unchanged in the later
+one, wherever it has moved. A new batch therefore probes with its own substrings of ``size`` words; the
+number of segments met, the lengths and a sketch bound what is verified. Stored segments and probes are kept as blocks: per Arrow batch and
+hash range one row with sorted 64-bit records and a small table of their texts; a range is met by
+binary search. A batch is appended as its own rows and blocks; history is never built again.
+
+Hot segments (more than HOT earlier texts, or IN_BATCH in one Arrow batch) would meet in squares. Every
+text that has one is noted. It first meets only the earliest text of each hot segment, which ends a mass
+of near copies at one row each. What is still open meets the noted texts by a prefix join: sequences in
+order of rarity among them (counted in a table of fixed size, which orders and drops nothing), and of each
+text only the first |A| - ceil(share * |A|) + 1; two near texts share one of these. Texts with many repeated sequences, for which a place of change may cost less, always
+go that way too. Nothing is dropped.
 
 Defined cases: null content: only its digest decides; fewer than MIN_WORDS words: only equality;
 repeated rows count once; null batch numbers are never earlier or later than anything; any further
@@ -26,18 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..session import broadcast_if_small, stored
 
-SEGMENT, WINDOW, MIN_WORDS, SHARE = 5, 5, 40, 0.6
-SAMPLE_IN, SAMPLE_SEEN, FREQUENT_MOST = 8, 3, 1 << 20
+MIN_WORDS, SHARE = 40, 0.6
+HOT, IN_BATCH = 64, 16
+REPEATED = 0.2  # part of a text's sequences that repeat earlier ones, from which on the exact way is taken
+BUCKET_RECORDS, PAIRS_AT_ONCE = 4_000_000, 2_000_000
 WORDS = re.compile(r"\w+")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_LOCAL, _KEY, _SLOT = np.uint64(24), np.uint64(40), np.uint64(46)
+SLOTS = 1 << 18
+STORED, PROBE, HOT_KEY, HOT_STORED, HOT_PROBE = range(5)
 
-FEATURES = "cid long, batch int, n int, sketch array<long>, shingles array<int>, rare array<long>, hot array<long>"
+ROWS = "cid long, batch int, n int, n_words int, need int, sketch array<long>, repeats boolean, words binary"
+BLOCKS = "bucket int, kind int, records binary, cids binary, ns binary, needs binary, batches binary"
+MET = "kind int, cid long, m_cid long, key long, hits int, need int"
 
 
 class _WordIds(dict):
@@ -63,53 +78,17 @@ def _grams(ids: np.ndarray, size: int) -> np.ndarray:
     return g
 
 
-def _texts(contents: list[str | None], ids: _WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts in a row, and where each text begins (one more at the end)."""
-    look, flat, starts = ids.__getitem__, [], [0]
-    for t in contents:
-        words = WORDS.findall(t.lower()) if t else []
-        if len(words) >= MIN_WORDS:
-            flat.extend(map(look, words))
-        starts.append(len(flat))
-    return np.array(flat, dtype=np.uint64), np.array(starts, dtype=np.int64)
-
-
-def _inside(starts: np.ndarray, size: int, n: int) -> np.ndarray:
-    """True for the grams that do not run over a text's end."""
-    ok = np.ones(max(0, n), dtype=bool)
-    for k in range(1, size):
-        at = starts[1:-1] - k
-        at = at[(at >= 0) & (at < n)]
-        ok[at] = False
-    return ok
-
-
-def segment_keys(contents: list[str | None], ids: _WordIds) -> Iterator[np.ndarray]:
-    """All segments of each text, for the count of frequent ones."""
-    flat, starts = _texts(contents, ids)
-    g = _grams(flat, SEGMENT)
-    for a, b in zip(starts, starts[1:]):
-        yield np.unique(g[a : max(a, b - SEGMENT + 1)])
-
-
-def features(contents: list[str | None], frequent: np.ndarray, ids: _WordIds) -> Iterator[tuple | None]:
-    """(number of sequences, odd sketch, sequences, rare segments, hot segments) of each text, None if short."""
-    flat, starts = _texts(contents, ids)
-    seg, tri = _grams(flat, SEGMENT), _grams(flat, 3)
-    often = np.isin(seg, frequent) if len(frequent) else np.zeros(len(seg), dtype=bool)
-    order = (seg >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63))
-    for a, b in zip(starts, starts[1:]):
-        if a == b:
-            yield None
-            continue
-        o = order[a : b - SEGMENT + 1]
-        view = np.lib.stride_tricks.sliding_window_view(o, min(WINDOW, len(o)))
-        at = np.unique(view.argmin(1) + np.arange(len(view))) + a
-        keys, is_hot = seg[at], often[at]
-        t = np.unique(tri[a : b - 2])
-        bits = np.bincount((t >> np.uint64(17)).astype(np.int64) & 255, minlength=256) & 1
-        sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
-        yield len(t), sketch, (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.unique(keys[~is_hot]).view(np.int64), np.unique(keys[is_hot]).view(np.int64)
+def segment_words(share: float = SHARE, least: int = MIN_WORDS) -> int:
+    """Largest segment size at which every length from ``least`` on has more segments than places of change."""
+    n = np.arange(least, 40 * least)
+    holds = lambda size: (n // size > places_of_change(n - 2, share)).all()
+    return next((size for size in range(least, 2, -1) if holds(size)), 3)
+
+
+def places_of_change(n: np.ndarray | int, share: float):
+    """At how many places at most a text of ``n`` distinct sequences differs from a near one."""
+    c = (1 - share) / (1 + share)
+    return (np.asarray(n) * 2 * c / (5 - c) + 1e-9).astype(int)
 
 
 def _contents(chunks: DataFrame) -> DataFrame:
@@ -118,124 +97,307 @@ def _contents(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", sha.alias("sha"), F.col("batch_no").cast("int").alias("batch"), "content")
 
 
-def frequent_segments(contents: DataFrame) -> np.ndarray:
-    """Segments seen SAMPLE_SEEN times and more in one of SAMPLE_IN contents: an order only, at most FREQUENT_MOST of 8 bytes."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _WordIds()
-        for b in batches:
-            keys = list(segment_keys(b["content"].tolist(), ids))
-            yield pd.DataFrame({"k": np.concatenate(keys).view(np.int64) if keys else np.array([], dtype=np.int64)})
-
-    sample = contents.where(F.pmod(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"), F.lit(SAMPLE_IN)) == 0).select("content")
-    seen = sample.mapInPandas(count, "k long").groupBy("k").count().where(F.col("count") >= SAMPLE_SEEN)
-    rows = seen.orderBy(F.desc("count"), "k").limit(FREQUENT_MOST).select("k").toPandas()["k"]
-    return np.sort(rows.to_numpy(dtype=np.int64).view(np.uint64))
-
+def index_rows(contents: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row per content of MIN_WORDS words or more: what a batch appends to the stored history.
 
-def index_rows(contents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One index row per content of MIN_WORDS words or more: the segment index that batches append to."""
-    shared = contents.sparkSession.sparkContext.broadcast(frequent)
+    ``need``: how many of its different segments stand unchanged in a near text.
+    """
+    size = segment_words(share)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, seen = _WordIds(), set()
+        look = ids.__getitem__
         for b in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            fresh = [c not in seen and not seen.add(c) for c in zip(b["cid"], b["batch"])]
-            b = b[fresh]
-            made = zip(b["cid"], b["batch"], features(b["content"].tolist(), shared.value, ids))
-            yield pd.DataFrame([(c, x, *f) for c, x, f in made if f is not None], columns=["cid", "batch", "n", "sketch", "shingles", "rare", "hot"])
+            out = []
+            for cid, batch, content in zip(b["cid"].tolist(), b["batch"].tolist(), b["content"].tolist()):
+                if (cid, batch) in seen:
+                    continue
+                seen.add((cid, batch))
+                found = WORDS.findall(content.lower())
+                if len(found) < MIN_WORDS:
+                    continue
+                w = np.fromiter(map(look, found), dtype=np.uint64, count=len(found))
+                t = np.unique(_grams(w, 3))
+                bits = np.bincount((t >> np.uint64(17)).astype(np.int64) & 511, minlength=512) & 1
+                need = len(np.unique(_grams(w, size)[_begins(len(w), size)])) - int(places_of_change(len(t), share))
+                repeats = need < 1 or len(t) < (1 - REPEATED) * (len(w) - 2)
+                out.append((cid, batch, len(t), len(w), need, np.packbits(bits.astype(np.uint8)).view(np.int64), repeats, w.tobytes()))
+            yield pd.DataFrame(out, columns=["cid", "batch", "n", "n_words", "need", "sketch", "repeats", "words"])
 
     rows = contents.where("content is not null and batch is not null").select(F.xxhash64("sha").alias("cid"), "batch", "content")
-    return rows.mapInPandas(build, FEATURES)
+    return rows.mapInPandas(build, ROWS)
+
+
+def _begins(n: int, size: int) -> np.ndarray:
+    return np.arange(n // size) * n // (n // size)
 
 
-def bounded(share: float, total: Column) -> Column:
+def _words(b: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(w, dtype=np.uint64) for w in b["words"]]
+
+
+def segments_of(b: pd.DataFrame, size: int, probe: bool, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the text) of the stored segments, or of the substrings a later text probes with."""
+    words = _words(b)
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    begin = np.cumsum(n) - n
+    many = np.where(b["batch"].to_numpy() > after, n - size + 1, 0) if probe else n // size
+    text = np.repeat(np.arange(len(n)), many)
+    i = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    at = begin[text] + (i if probe else i * n[text] // many[text])
+    return _grams(np.concatenate(words) if words else np.zeros(0, np.uint64), size)[at], text.astype(np.uint64)
+
+
+def rarest_of(b: pd.DataFrame, often: np.ndarray, share: float, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the text) of the rarest sequences that one of two near texts must share with the other."""
+    out = [np.zeros(0, np.uint64)]
+    wanted = b["as_probe" if probe else "as_stored"].to_numpy()
+    for w, ok in zip(_words(b), wanted):
+        t = np.unique(_grams(w, 3)) if ok else out[0]
+        order = np.lexsort((t, often[(t >> _SLOT).astype(np.int64)]))
+        out.append(t[order[: len(t) - int(np.ceil(share * len(t) - 1e-9)) + 1]] if ok else t)
+    return np.concatenate(out), np.repeat(np.arange(len(wanted)), [len(x) for x in out[1:]]).astype(np.uint64)
+
+
+def blocks(rows: DataFrame, buckets: int, cut, probe: bool, in_batch: int = IN_BATCH) -> DataFrame:
+    """The hashes that ``cut`` takes from index rows, packed by hash range.
+
+    A record is 40 bits of the hash and 24 bits of the text's number in the block. A hash that more than
+    ``in_batch`` texts of one Arrow batch have is hot: of stored texts the earliest stands for it, and all are noted.
+    """
+
+    def rows_of(kind: int, bucket: np.ndarray, rec: np.ndarray, b: pd.DataFrame) -> Iterator[tuple]:
+        order = np.argsort(bucket, kind="stable")
+        bucket, rec = bucket[order], rec[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+        cids, ns, needs, batch = (b[c].to_numpy() for c in ("cid", "n", "need", "batch"))
+        for lo, hi in zip(starts, [*starts[1:], len(bucket)]):
+            part = rec[lo:hi]
+            used, local = np.unique(part & np.uint64((1 << 24) - 1), return_inverse=True)
+            packed = (part >> _LOCAL << _LOCAL) | local.astype(np.uint64)
+            used = used.astype(np.int64)
+            yield int(bucket[lo]), kind, packed.tobytes(), cids[used].astype(np.int64).tobytes(), ns[used].astype(np.int32).tobytes(), needs[used].astype(np.int32).tobytes(), batch[used].astype(np.int32).tobytes()
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values(["batch", "cid"], ignore_index=True)  # the least number is the earliest
+            h, text = cut(b)
+            bucket = ((h >> _KEY) % np.uint64(buckets)).astype(np.int64)
+            rec = (h << _LOCAL) | text
+            order = np.lexsort((rec, bucket))
+            bucket, rec = bucket[order], rec[order]
+            new = np.r_[True, (rec[1:] != rec[:-1]) | (bucket[1:] != bucket[:-1])] if len(rec) else np.zeros(0, bool)
+            bucket, rec = bucket[new], rec[new]
+            key = rec >> _LOCAL
+            first = np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])] if len(rec) else np.zeros(0, bool)
+            group = np.cumsum(first) - 1
+            hot = (np.bincount(group) > in_batch)[group] if len(rec) else first
+            out = [*rows_of(PROBE if probe else STORED, bucket[~hot], rec[~hot], b), *rows_of(HOT_PROBE if probe else HOT_STORED, bucket[hot], rec[hot], b)]
+            if not probe:
+                out += rows_of(HOT_KEY, bucket[hot & first], rec[hot & first], b)
+            yield pd.DataFrame(out, columns=["bucket", "kind", "records", "cids", "ns", "needs", "batches"])
+
+    return rows.drop("sketch").mapInPandas(make, BLOCKS)
+
+
+class _Records:
+    """Records of some kinds of one bucket with the texts they belong to."""
+
+    def __init__(self, rows: pd.DataFrame, *kinds: int):
+        rows = rows[rows["kind"].isin(kinds)]
+        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, dtype=kind) for x in rows[name])])
+        rec = [np.frombuffer(x, dtype=np.uint64) for x in rows["records"]]
+        sizes = np.array([len(x) // 8 for x in rows["cids"]], dtype=np.int64)
+        offset = np.repeat(np.cumsum(sizes) - sizes, [len(r) for r in rec]) if len(rec) else np.zeros(0, np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *rec])
+        self.key, self.text = flat >> _LOCAL, (flat & np.uint64((1 << 24) - 1)).astype(np.int64) + offset
+        self.cid, self.n, self.need, self.batch = join("cids", np.int64), join("ns", np.int32), join("needs", np.int32), join("batches", np.int32)
+
+
+def _meet(bucket: int, rows: pd.DataFrame, share: float, most: int) -> Iterator[pd.DataFrame]:
+    """Pairs of one hash range, and the texts and leaders of its hot segments."""
+    s, p = _Records(rows, STORED), _Records(rows, PROBE)
+    hot_s, hot_p, lead = _Records(rows, HOT_STORED), _Records(rows, HOT_PROBE), _Records(rows, HOT_KEY)
+    order = np.argsort(s.key, kind="stable")
+    key, text = s.key[order], s.text[order]
+    distinct, counts = np.unique(key, return_counts=True)
+    hot = np.unique(np.concatenate([distinct[counts > most], lead.key, hot_p.key]))
+    whole = lambda k: (np.int64(bucket) << np.int64(40)) | k.astype(np.int64)
+    frame = lambda kind, cid, m, k: pd.DataFrame({"kind": np.int32(kind), "cid": cid, "m_cid": m, "key": k}).drop_duplicates().assign(hits=np.int32(0), need=np.int32(0))
+    in_hot = np.isin(key, hot)
+    noted = np.unique(np.concatenate([s.cid[text[in_hot]], hot_s.cid[hot_s.text]]))
+    yield frame(HOT_STORED, noted, np.int64(0), np.int64(0))
+    of_probe = np.isin(p.key, hot)
+    yield frame(HOT_PROBE, np.concatenate([p.cid[p.text[of_probe]], hot_p.cid[hot_p.text]]), np.int64(0), whole(np.concatenate([p.key[of_probe], hot_p.key])))
+    leads = pd.DataFrame({"k": np.concatenate([key[in_hot], lead.key]), "b": np.concatenate([s.batch[text[in_hot]], lead.batch[lead.text]]), "m": np.concatenate([s.cid[text[in_hot]], lead.cid[lead.text]])})
+    leads = leads.sort_values(["k", "b", "m"]).drop_duplicates("k")
+    yield frame(HOT_KEY, np.int64(0), leads["m"].to_numpy(), whole(leads["k"].to_numpy(dtype=np.uint64)))
+    p_key, p_text = p.key[~of_probe], p.text[~of_probe]
+    low, high = np.searchsorted(key, p_key), np.searchsorted(key, p_key, side="right")
+    met = np.flatnonzero(high > low)
+    for part in np.split(met, np.flatnonzero(np.diff(np.cumsum((high - low)[met]) // PAIRS_AT_ONCE)) + 1):
+        many = (high - low)[part]
+        a = np.repeat(p_text[part], many)
+        m = text[np.repeat(low[part] - (np.cumsum(many) - many), many) + np.arange(len(a))]
+        small, large = np.minimum(p.n[a], s.n[m]), np.maximum(p.n[a], s.n[m])
+        ok = (s.batch[m] < p.batch[a]) & (p.cid[a] != s.cid[m]) & (small * (1 + 1e-9) >= share * large)
+        pair, hits = np.unique(a[ok] * len(s.cid) + m[ok], return_counts=True)
+        a, m = np.divmod(pair, max(1, len(s.cid)))
+        yield pd.DataFrame({"kind": np.int32(STORED), "cid": p.cid[a], "m_cid": s.cid[m], "key": np.int64(0), "hits": hits.astype(np.int32), "need": s.need[m]})
+
+
+def met(segments: DataFrame, probes: DataFrame, buckets: int, share: float, most: int = HOT) -> DataFrame:
+    """What meets in any hash range; a range is one task and a bounded number of records."""
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame(columns=["bucket", "kind", "records", "cids", "ns", "needs", "batches"]), *batches])
+        for bucket, part in rows.groupby("bucket"):
+            yield from _meet(int(bucket), part, share, most)
+
+    return segments.unionByName(probes).repartitionById(buckets, F.col("bucket")).mapInPandas(meet, MET)
+
+
+def bounded(share: float, total: Column | np.ndarray):
     """Most insertions and deletions that two sequence sets of ``total`` members may need."""
-    return F.floor(F.lit((1 - share) / (1 + share) + 1e-9) * total)
+    c = (1 - share) / (1 + share) + 1e-9
+    return F.floor(F.lit(c) * total) if isinstance(total, Column) else np.floor(c * total)
 
 
-def _keys(index: DataFrame) -> DataFrame:
-    """(segment, content, its first and last batch) once each, however often delivered; partitioned by segment."""
-    rows = index.select(F.explode(F.concat("rare", "hot")).alias("k"), "cid", "batch").repartition("k")
-    return rows.groupBy("k", "cid").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi"))
+def _odd(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(8)), F.lit(0))
 
 
 def _may_be_near(a: Column, b: Column, share: float) -> Column:
     """Length bound and odd-sketch bound of two structs (n, sketch): no near pair fails it."""
-    odd = sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(4)), F.lit(0))
     fits = F.least(a["n"], b["n"]) * (1 + 1e-9) >= share * F.greatest(a["n"], b["n"])
-    return fits & (odd <= bounded(share, a["n"] + b["n"]))
+    return fits & (_odd(a, b) <= bounded(share, a["n"] + b["n"]))
 
 
-def _verified(pairs: DataFrame, index: DataFrame, share: float) -> DataFrame:
-    """(cid, near_lo) of the pairs whose sequences are within the bounded distance."""
-    near = stored(pairs.distinct())
-    wanted = broadcast_if_small(near.select("cid").union(near.select("m_cid")).distinct())
-    full = index.select("cid", "shingles").join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-    both = near.join(full, "cid").join(full.select(F.col("cid").alias("m_cid"), F.col("shingles").alias("m_shingles")), "m_cid")
-    total = F.size("shingles") + F.size("m_shingles")
-    distance = total - 2 * F.size(F.array_intersect("shingles", "m_shingles"))
-    return both.where(distance <= bounded(share, total)).groupBy("cid").agg(F.min("m_lo").alias("near_lo"))
+def _verified(pairs: DataFrame, rows: DataFrame, meta: DataFrame, share: float) -> DataFrame:
+    """cid of each text that is within the bounded distance of an earlier one of its pairs.
 
+    The pair with the nearest sketch is verified first; the others only of texts that it leaves open.
+    """
+    m = meta.select(F.col("cid").alias("m_cid"), F.col("lo").alias("m_lo"), F.col("f").alias("m_f"))
+    bounds = (F.col("m_lo") < F.col("lo")) & _may_be_near(F.col("f"), F.col("m_f"), share)
+    near = pairs.repartition("cid").distinct().join(meta, "cid").join(m, "m_cid").where(bounds)
+    near = stored(near.select("cid", "m_cid", _odd(F.col("f"), F.col("m_f")).alias("odd")))
+    best = near.groupBy("cid").agg(F.min(F.struct("odd", "m_cid")).alias("b")).select("cid", "b.m_cid")
+    first = stored(_within(best, rows, share))
+    rest = near.join(first, "cid", "left_anti").join(best, ["cid", "m_cid"], "left_anti").select("cid", "m_cid")
+    return first.unionByName(_within(rest, rows, share)).distinct()
+
+
+def _within(pairs: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    wanted = broadcast_if_small(pairs.select("cid").union(pairs.select("m_cid")).distinct())
+    full = rows.select("cid", "words").join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("words").alias("words"))
+    both = pairs.join(full, "cid").join(full.select(F.col("cid").alias("m_cid"), F.col("words").alias("m_words")), "m_cid")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lambda w: np.unique(_grams(np.frombuffer(w, dtype=np.uint64), 3))
+        for b in batches:
+            keep = []
+            for cid, x, y in zip(b["cid"], b["words"], b["m_words"]):
+                x, y = of(x), of(y)
+                total = len(x) + len(y)
+                if total - 2 * len(np.intersect1d(x, y, assume_unique=True)) <= bounded(share, total):
+                    keep.append(cid)
+            yield pd.DataFrame({"cid": pd.Series(keep, dtype="int64")})
 
-def near_history(keys: DataFrame, index: DataFrame, share: float = SHARE) -> DataFrame:
-    """(cid, near_lo): an earlier batch that holds a near, not equal, content of each content.
+    return both.select("cid", "words", "m_words").mapInPandas(verify, "cid long").distinct()
+
+
+def sequence_counts(noted: DataFrame) -> np.ndarray:
+    """How many sequences of the noted texts fall into each of SLOTS hash slots: an order of rarity of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for b in batches:
+            slots = [(_grams(w, 3) >> _SLOT).astype(np.int64) for w in _words(b)]
+            total += np.bincount(np.concatenate([np.zeros(0, np.int64), *slots]), minlength=SLOTS)
+        yield pd.DataFrame({"c": [total.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for b in batches:
+            for c in b["c"]:
+                total += np.frombuffer(c, dtype=np.int64)
+        yield pd.DataFrame({"c": [total.tobytes()]})
+
+    rows = noted.select("words").mapInPandas(count, "c binary").repartition(8).mapInPandas(add, "c binary").collect()
+    return np.sum([np.zeros(SLOTS, dtype=np.int64), *(np.frombuffer(r["c"], dtype=np.int64) for r in rows)], axis=0)
 
-    ``keys``: segments by content; ``index``: sketches and sequences by content. Segments that no earlier
-    and later content share are left behind. First every content meets only the earliest content of each
-    of its segments: contents that one old text explains end there, so a mass of near-copies costs one
-    row each. What is left meets all earlier contents of its segments; that join is by segment and split by AQE.
-    """
-    w = Window.partitionBy("k")
-    spread = {"c": F.count("*").over(w), "k_lo": F.min("lo").over(w), "k_hi": F.max("hi").over(w)}
-    multi = stored(keys.withColumns(spread).where("c > 1 and k_lo < k_hi").drop("k_lo", "k_hi"))
-    meta = index.groupBy("cid").agg(F.first(F.struct("n", "sketch")).alias("f"))
-    rows = multi.join(meta, "cid").select("k", "c", "cid", "lo", "hi", "f")
-    lead = rows.withColumn("m", F.min(F.struct("lo", "cid", F.col("f.n").alias("n"), F.col("f.sketch").alias("sketch"))).over(w))
-    first = lead.where((F.col("m.lo") < F.col("hi")) & (F.col("m.cid") != F.col("cid")) & _may_be_near(F.col("f"), F.col("m"), share))
-    done = stored(_verified(first.select("cid", F.col("m.cid").alias("m_cid"), F.col("m.lo").alias("m_lo")), index, share))
-    own = multi.groupBy("cid").agg(F.min("lo").alias("lo"))
-    closed = done.join(own, "cid").where("near_lo < lo").select("cid")
-    several = rows.where("c > 2")
-    probes = several.join(closed, "cid", "left_anti").select("k", "cid", "hi", "f")
-    targets = several.select("k", F.col("cid").alias("m_cid"), F.col("lo").alias("m_lo"), F.col("f").alias("m"))
-    ok = (F.col("m_lo") < F.col("hi")) & (F.col("cid") != F.col("m_cid")) & _may_be_near(F.col("f"), F.col("m"), share)
-    more = _verified(probes.join(targets, "k").where(ok).select("cid", "m_cid", "m_lo"), index, share)
-    return done.unionByName(more).groupBy("cid").agg(F.min("near_lo").alias("near_lo"))
-
-
-def chunks_seen_before(chunks: DataFrame, share: float = SHARE) -> DataFrame:
-    """chunk_id of every chunk whose content, unchanged or near, stands in a smaller batch."""
-    contents = _contents(chunks)
-    built = index_rows(contents, frequent_segments(contents))
-    equal = contents.where("sha is not null").groupBy("sha").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi"))
-    equal = stored(equal.withColumn("cid", F.xxhash64("sha")))
-    near = near_history(_keys(built), stored(built.select("cid", "n", "sketch", "shingles")), share)
-    first = equal.join(near, "cid", "left").select("sha", F.least("lo", "near_lo").alias("first_batch"), "hi").where("first_batch < hi")
-    rows = contents.drop("content").distinct().join(first, "sha").where(F.col("batch") > F.col("first_batch"))
-    return rows.select("chunk_id").where("chunk_id is not null").distinct()
 
+def _prefix_pairs(sides: DataFrame, rows: DataFrame, buckets: int, share: float) -> DataFrame:
+    """(cid, m_cid) of the texts of ``sides`` (cid, as_stored, as_probe) whose rarest sequences meet."""
+    noted = stored(rows.join(broadcast_if_small(sides), "cid"))
+    often = noted.sparkSession.sparkContext.broadcast(sequence_counts(noted))
+    of = lambda probe: blocks(noted, buckets, lambda b: rarest_of(b, often.value, share, probe), probe, 1 << 40)
+    return stored(met(of(False), of(True), buckets, share, 1 << 40).where(F.col("kind") == STORED).select("cid", "m_cid"))
 
-def probe(history: DataFrame, batch: DataFrame, share: float = SHARE) -> DataFrame:
-    """(cid, near_lo) of the contents of a new batch that the stored history explains.
 
-    Both are index rows (see ``index_rows``). Only the segments of the new batch meet the stored
-    ones; nothing of the history is built again. Afterwards ``append`` the accepted rows.
+def near_history(rows: DataFrame, found: DataFrame, buckets: int, share: float = SHARE) -> DataFrame:
+    """cid of each content for which an earlier batch holds a near, not equal, content.
+
+    ``rows``: index rows of history and batch; ``found``: what met (see ``met``), stored.
+    """
+    meta = stored(rows.groupBy("cid").agg(F.min("batch").alias("lo"), F.first(F.struct("n", "sketch")).alias("f")))
+    of = lambda kind: found.where(F.col("kind") == kind)
+    leaders = of(HOT_KEY).groupBy("key").agg(F.min("m_cid").alias("m_cid"))
+    lead = of(HOT_PROBE).select("cid", "key").join(leaders, "key").where("cid != m_cid").select("cid", "m_cid")
+    enough = of(STORED).repartition("cid").groupBy("cid", "m_cid").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need")
+    first = stored(_verified(enough.select("cid", "m_cid").unionByName(lead), rows, meta, share))
+    open_ = of(HOT_PROBE).select("cid").unionByName(rows.where("repeats").select("cid")).distinct().join(first, "cid", "left_anti")
+    kept = of(HOT_STORED).select("cid").unionByName(rows.where("repeats").select("cid")).distinct()
+    sides = open_.select("cid", F.lit(False).alias("s"), F.lit(True).alias("p")).unionByName(kept.select("cid", F.lit(True).alias("s"), F.lit(False).alias("p")))
+    sides = sides.groupBy("cid").agg(F.max("s").alias("as_stored"), F.max("p").alias("as_probe"))
+    return first.unionByName(_verified(_prefix_pairs(sides, rows, buckets, share), rows, meta, share)).distinct()
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Hash ranges, so that each holds BUCKET_RECORDS records at most on average."""
+    words = rows.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-int(words * 1.2) // BUCKET_RECORDS))
+
+
+def chunks_seen_before(chunks: DataFrame, share: float = SHARE, hot: int = HOT, in_batch: int = IN_BATCH) -> DataFrame:
+    """chunk_id of every chunk whose content, unchanged or near, stands in a smaller batch."""
+    contents = _contents(chunks)
+    rows = stored(index_rows(contents, share))
+    buckets, size = bucket_count(rows), segment_words(share)
+    earliest = rows.agg(F.coalesce(F.min("batch"), F.lit(0)).alias("b")).first()["b"]  # it has nothing before it and probes nothing
+    of = lambda probe: blocks(rows, buckets, lambda b: segments_of(b, size, probe, earliest), probe, in_batch)
+    near = near_history(rows, stored(met(of(False), of(True), buckets, share, hot)), buckets, share)
+    equal = contents.where("sha is not null and batch is not null").groupBy("sha").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi"))
+    state = equal.withColumn("cid", F.xxhash64("sha")).join(near.withColumn("near", F.lit(True)), "cid", "left").select("sha", "lo", "hi", F.coalesce("near", F.lit(False)).alias("near"))
+    state = state.where("near or hi > lo")
+    found = contents.drop("content").distinct().join(state, "sha").where(F.col("near") | (F.col("batch") > F.col("lo")))
+    return found.select("chunk_id").where("chunk_id is not null and batch is not null").distinct()
+
+
+def append(batch: DataFrame, path: str, buckets: int, share: float = SHARE) -> None:
+    """Add a batch's index rows and segment blocks to the stored history."""
+    batch.write.mode("append").parquet(f"{path}/rows")
+    size = segment_words(share)
+    blocks(batch, buckets, lambda b: segments_of(b, size, False, 0), False).write.mode("append").parquet(f"{path}/segments")
+
+
+def probe(path: str, batch: DataFrame, buckets: int, share: float = SHARE) -> DataFrame:
+    """cid of the contents of a new batch (index rows) that the history stored at ``path`` explains.
+
+    Only the stored segment blocks are read, and the rows of texts that met; nothing of the history is
+    cut or counted again. Afterwards ``append`` the accepted rows.
     """
-    meta = lambda df: df.select("cid", F.struct("n", "sketch").alias("f"))
-    new = _keys(batch).join(meta(batch), "cid")
-    old = _keys(history).join(meta(history), "cid").select("k", F.col("cid").alias("m_cid"), F.col("f").alias("m"), F.col("lo").alias("m_lo"))
-    pairs = new.join(old, "k").where((F.col("cid") != F.col("m_cid")) & _may_be_near(F.col("f"), F.col("m"), share))
-    near = _verified(pairs.select("cid", "m_cid", "m_lo"), history.unionByName(batch), share)
-    same = batch.select("cid").distinct().join(history.groupBy("cid").agg(F.min("batch").alias("near_lo")), "cid")
-    return near.unionByName(same).groupBy("cid").agg(F.min("near_lo").alias("near_lo"))
-
-
-def append(batch: DataFrame, path: str) -> None:
-    """Add a batch's index rows to the stored index."""
-    batch.write.mode("append").partitionBy("batch").parquet(path)
+    spark = batch.sparkSession
+    segments, history = spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/rows")
+    size = segment_words(share)
+    found = stored(met(segments, blocks(batch, buckets, lambda b: segments_of(b, size, True, -1), True), buckets, share))
+    needed = found.select("cid").union(found.select(F.col("m_cid").alias("cid"))).distinct()
+    near = near_history(history.join(needed, "cid", "left_semi").unionByName(batch), found, buckets, share)
+    same = batch.select("cid").distinct().join(history.select("cid").distinct(), "cid", "left_semi")
+    return near.join(batch.select("cid").distinct(), "cid", "left_semi").unionByName(same).distinct()
 
 
 def entries_seen_before(files: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -65,29 +65,38 @@ def test_history_equals_brute_force(spark):
     assert got == near_by_brute_force([(a, b.lower() if b else b, c, d) for a, b, c, d in rows])
 
 
-def test_history_incremental_equals_whole(spark):
+@pytest.mark.parametrize("hot", [0, 1, 64])
+def test_history_of_scattered_edits_and_copied_texts(spark, hot):
+    """Every shared segment hot (the exact way), or none; edits as dense as a near pair allows."""
+    r, rows = random.Random(5), []
+    for k in range(12):
+        base = text(1000 + k, 40 + 13 * k)
+        for j in range(6):
+            w, step = list(base), r.randrange(9, 14)
+            for at in range(r.randrange(step), len(w), step):
+                w[at] = r.choice(["", f"new{k}x{at}", w[at] + f" more{at}"])
+            rows.append((f"c{k}_{j}", None, j, " ".join(w)))
+        rows.append((f"line{k}", None, k % 3, " ".join(["the same line again and again"] * (8 + k) + text(k, 3))))
+    df = spark.createDataFrame(rows, "chunk_id string, content_sha256 string, batch_no int, content string").repartition(5)
+    assert {r.chunk_id for r in history.chunks_seen_before(df, hot=hot, in_batch=hot).collect()} == near_by_brute_force(rows)
+
+
+def test_history_incremental_equals_whole(spark, tmp_path):
     rows = [r for r in chunk_rows() if r[2] is not None]
     df = spark.createDataFrame(rows, "chunk_id string, content_sha256 string, batch_no int, content string")
     contents = history._contents(df)
-    index = history.index_rows(contents, history.frequent_segments(contents)).cache()
-    old, new = index.where("batch <= 1"), index.where("batch = 2")
-    met = {r.cid for r in history.probe(old, new).collect()}
+    index = history.index_rows(contents).cache()
+    for batch in (0, 1):
+        history.append(index.where(F.col("batch") == batch), str(tmp_path), 4)
+    met = {r.cid for r in history.probe(str(tmp_path), index.where("batch = 2"), 4).collect()}
     ids = {r.chunk_id for r in contents.where("batch = 2").withColumn("cid", F.xxhash64("sha")).where(F.col("cid").isin(*met)).collect()}
     want = near_by_brute_force([r for r in rows if r[2] <= 2]) & {r[0] for r in rows if r[2] == 2}
     assert ids == {i for i in want if next(r for r in rows if r[0] == i)[3] and len(next(r for r in rows if r[0] == i)[3].split()) >= 40}
 
 
-def test_frequent_segments_of_a_text_are_all_kept():
-    import numpy as np
-
-    ids, met = history._WordIds(), 0
-    for k in range(200):
-        old = text(1000 + k, 40)
-        new = [f"new{k}x{i}" if i % 11 == 5 else w for i, w in enumerate(old)]
-        frequent = next(history.segment_keys([" ".join(old)], ids))
-        a, b = history.features([" ".join(old), " ".join(new)], np.sort(frequent), ids)
-        met += bool((set(a[3]) | set(a[4])) & (set(b[3]) | set(b[4])))
-    assert met == 200
+def test_segment_size_leaves_one_segment_untouched():
+    assert history.segment_words(0.6, 40) == 8
+    assert history.segment_words(0.8, 40) > 8
 
 
 def test_history_empty(spark):
