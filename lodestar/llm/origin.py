@@ -46,7 +46,10 @@ MADE = re.compile(
     _COMMENT + r".{0,160}?(?:@generated\b|\bcode generated\b|<?\bauto-?generated\b|\bgenerated (?:by|from|with)\b|\bmachine-(?:written|generated)\b|"
     r"\b(?:do not|don't) (?:edit|modify)\b|\bautomatisch (?:erzeugt|generiert)|\boutput of `[^`]+`)", re.I | re.M
 )
-COPIED = re.compile(_COMMENT + r"\s*(?:@?vendored (?:from|copy)|third[- ]party (?:code|copy))", re.I | re.M)
+COPIED = re.compile(
+    _COMMENT + r"\s*(?:@?vendored (?:from|copy)|third[- ]party (?:code|copy)|upstream:\s*\S.{0,200}?\b(?:imported|version|v?\d+\.\d)|"
+    r"(?:copied|imported|taken) (?:unchanged |verbatim |unmodified |as is )?from (?:the )?upstream\b)", re.I | re.M
+)
 MADE_NAME = re.compile(
     r"(?:_pb2?(?:_grpc)?\.(?:py|js|ts)|\.pb\.(?:go|cc|h)|[._](?:generated|gen|g)\.\w+|(?:^|/)(?:package-lock\.json|yarn\.lock|"
     r"pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|composer\.lock))$", re.I
