@@ -104,6 +104,10 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*(trigrams(q) for q in query[1]))
 
 
+# The letters outside ASCII that an expression without case takes for i, s and k.
+_ALIKE = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+
+
 class Postings:
     """For each known trigram the texts of a block that hold it, as a column of bits."""
 
@@ -116,7 +120,7 @@ class Postings:
 
     def build(self, texts: list[str | None]) -> np.ndarray:
         """bits[text, trigram]"""
-        data = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+        data = [(t if t.isascii() else t.translate(_ALIKE)).encode("utf-8", "replace").lower() for t in (t or "" for t in texts)]
         bits = np.zeros((len(texts), len(self._column) + 1), dtype=bool)
         flat = np.frombuffer(b"\0\0\0".join(data), dtype=np.uint8).astype(np.uint32)
         if len(flat) >= 3:
