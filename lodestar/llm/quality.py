@@ -28,7 +28,7 @@ COMMON_DE = (
     "bevor solange sobald ist sind war waren wird werden wurde wurden worden sein hat haben hatte kann muss soll darf "
     "nicht kein keine nichts nur noch schon auch dann doch hier dort danach zuerst im am auf aus bei beim mit nach von "
     "vom vor zu zum zur unter durch für gegen ohne um zwischen es er sie wir ich ihr sich man dieser diese dieses jede "
-    "jeder jedes alle andere welcher welche wer wo je mehr sehr bleibt davon ab"
+    "jeder jedes alle andere welcher welche wer wo je mehr sehr"
 ).split()
 # Thresholds of the rules.
 BLOCK_COMMON, BLOCK_WORDS, BLOCK_LETTERS, BLOCK_BROKEN = 0.12, 4, 0.5, 0.01

@@ -353,6 +353,18 @@ def test_heap_merge(t):
         assert bpe.heap_merge(t.encode(), ranks) == enc.encode_ordinary(t)
 
 
+def test_trigrams_of_letters_that_fold_to_ascii():
+    for t in ("\u017fecret", "to\u212aen", "ap\u0131", "AP\u0130"):
+        assert trigrams.check("(?i)secret|token|api", t) and re.search("(?i)secret|token|api", t)
+
+
+def test_headings_of_copied_files():
+    for t in ("// Upstream: fenver 0.30, imported 2024-02.", "# Copied unchanged from the upstream release.", "/* Vendored from x */"):
+        assert origin.COPIED.search("x = 1\n" + t)
+    for t in ("# copied from marker on 16.7.", "upstream: a 1.0, imported", "# the upstream release is read"):
+        assert not origin.COPIED.search(t)
+
+
 # --- p9
 def test_leakage_equals_brute_force(spark):
     r = random.Random(3)
