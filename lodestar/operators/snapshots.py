@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..session import broadcast_if_small
 
 
 def complete_sequence(snapshots: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def held_rows(files: DataFrame, sequence: DataFrame, *extra: str) -> DataFrame:
     """The inventory row that holds for each (root, snapshot, path), range-partitioned by (root, path).
 
     The ranges are by (root, path), so one root with a third of all rows is cut like any
-    other stretch of keys. Rows without path are left out.
+    other stretch of keys. The sequence of snapshots is broadcast if a count proves it small,
+    so that the inventory is shuffled once. Rows without path are left out.
     """
     f = files.select(
         normal.key("snapshot_id").alias("sid"),
@@ -40,7 +42,7 @@ def held_rows(files: DataFrame, sequence: DataFrame, *extra: str) -> DataFrame:
         "entry_id",
         *extra,
     ).where("path is not null and path <> ''")
-    joined = f.join(sequence, "sid").repartitionByRange("root", "path")
+    joined = f.join(broadcast_if_small(sequence), "sid").repartitionByRange("root", "path")
     value = F.struct("ingested_at", "entry_id", "size", "mtime_at", *extra)
     held = joined.groupBy("root", "path", "seq", "sid", "created_at", "next_sid").agg(F.max(value).alias("v"))
     return held.select("root", "path", "seq", "sid", "created_at", "next_sid", "v.*")
