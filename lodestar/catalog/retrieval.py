@@ -110,7 +110,7 @@ def review_fusion_round_robin(spark, base):
 
 def context_window_overlap(spark, base):
     c = chunks(spark, base, "chunk_id", "repo_id", "path", "start_line", "end_line")
-    t = c.where("start_line > 1").select("path", (F.col("start_line") - 3).alias("start_line"), (F.col("start_line") + 3).alias("end_line")).distinct()
+    t = c.where("start_line > 1").select("repo_id", "path", (F.col("start_line") - 3).alias("start_line"), (F.col("start_line") + 3).alias("end_line")).distinct()
     return R.window_context(c, t).select("chunk_id", "t_start", "t_end")
 
 
@@ -128,8 +128,8 @@ def index_health(spark, base):
 
 
 def path_chunk_ids(spark, base):
-    c = table(spark, base, "chunks", "chunk_id", "path").distinct()
-    return c.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("chunk_id")), ",").alias("chunk_ids"), F.count("*").alias("n"))
+    c = table(spark, base, "chunks", "chunk_id", "repo_id", "path").distinct()
+    return c.groupBy("repo_id", "path").agg(F.array_join(F.array_sort(F.collect_set("chunk_id")), ",").alias("chunk_ids"), F.count("*").alias("n"))
 
 
 def content_signature(spark, base):
@@ -137,14 +137,15 @@ def content_signature(spark, base):
 
 
 def _gold_ranks(spark, base):
-    """Ranked documents of each test query and which of them hold the item's passage."""
-    gold = table(spark, base, "goldset", "item_id", "language", "category", "query_text", "passage").distinct()
-    docs = table(spark, base, "documents", "doc_id", "text").distinct()
+    """Ranked documents of each test query; one is relevant if its path holds an expected one or its text the whole passage."""
+    gold = table(spark, base, "goldset", "item_id", "language", "category", "query_text", "passage", "expected_paths").distinct()
+    docs = table(spark, base, "documents", "doc_id", "text", "path").distinct()
     q = gold.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.terms(F.col("query_text")))).alias("term")).withColumn("group_id", F.lit(1))
     hits = R.bm25_scores(stored(R.postings(docs, "doc_id", "text")), q)
     ranked = R.top_k(hits, 10, ["query_id"], [F.col("score"), F.col("doc")])
     body = docs.where("text is not null").withColumnRenamed("doc_id", "doc")
-    rel = ranked.join(body, "doc").join(gold.select(F.col("item_id").alias("query_id"), "passage"), "query_id").where(F.expr("contains(lower(text), lower(substr(passage, 1, 60)))"))
+    rel = ranked.join(body, "doc").join(gold.select(F.col("item_id").alias("query_id"), "passage", "expected_paths"), "query_id")
+    rel = rel.where(F.expr("contains(lower(text), lower(passage)) or exists(expected_paths, e -> contains(path, e))"))
     first = rel.groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return gold.select(F.col("item_id").alias("query_id"), "language", "category").join(first, "query_id", "left"), ranked
 
@@ -199,14 +200,14 @@ scored AS (SELECT sc.query_id, doc, round(s, 12) AS score FROM sc JOIN need USIN
 _Q = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in QUERY) + ") v(query_id, group_id, term)"
 _H = _scored(_P, "posts", _Q) + ",\nhits AS (SELECT query_id, score, c.chunk_id, repo_id, path, start_line, end_line, layer FROM scored JOIN c ON c.chunk_id = scored.doc)"
 _ORD = "score, repo_id, path, start_line, chunk_id"
-_G = """WITH gold AS (SELECT DISTINCT item_id AS query_id, language, category, query_text, passage FROM goldset),
-d AS (SELECT DISTINCT doc_id AS doc, text FROM documents),
+_G = """WITH gold AS (SELECT DISTINCT item_id AS query_id, language, category, query_text, passage, expected_paths FROM goldset),
+d AS (SELECT DISTINCT doc_id AS doc, text, path FROM documents),
 posts AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM d) GROUP BY 1, 2),
 dls AS (SELECT doc, sum(tf) AS dl FROM posts GROUP BY 1)"""
 _GR = _scored(_G, "posts", "SELECT DISTINCT query_id, 1 AS group_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[\\p{L}\\p{N}]+')) AS term FROM gold)") + """,
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc) AS rank FROM scored) WHERE rank <= 10),
 ranks AS (SELECT gold.query_id, gold.language, gold.category, f.first_rank FROM gold LEFT JOIN (
-  SELECT r.query_id, min(r.rank) AS first_rank FROM ranked r JOIN d USING (doc) JOIN gold g USING (query_id) WHERE contains(lower(d.text), lower(substr(g.passage, 1, 60))) GROUP BY 1) f USING (query_id))"""
+  SELECT r.query_id, min(r.rank) AS first_rank FROM ranked r JOIN d USING (doc) JOIN gold g USING (query_id) WHERE d.text IS NOT NULL AND (contains(lower(d.text), lower(g.passage)) OR len(list_filter(g.expected_paths, lambda e: contains(d.path, e))) > 0) GROUP BY 1) f USING (query_id))"""
 
 SQL = {
     "bm25_topk": _H + f" SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank FROM hits) WHERE rank <= 10",
@@ -234,13 +235,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane_order ORDER BY {_
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY lane_rank, lane_order) AS k FROM r) WHERE k = 1),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lane_rank, lane_order) AS global_rank FROM u)
 SELECT query_id, global_rank, lane_order, lane_rank, path, round(1.0 / global_rank, 6) AS final_score FROM g""",
-    "context_window_overlap": _C + """, k AS (SELECT DISTINCT chunk_id, repo_id, path, start_line, end_line FROM c), t AS (SELECT DISTINCT path, start_line - 3 AS t_start, start_line + 3 AS t_end FROM k WHERE start_line > 1)
-SELECT chunk_id, t_start, t_end FROM k JOIN t USING (path) WHERE start_line <= t_end AND end_line >= t_start""",
+    "context_window_overlap": _C + """, k AS (SELECT DISTINCT chunk_id, repo_id, path, start_line, end_line FROM c), t AS (SELECT DISTINCT repo_id, path, start_line - 3 AS t_start, start_line + 3 AS t_end FROM k WHERE start_line > 1)
+SELECT chunk_id, t_start, t_end FROM k JOIN t USING (repo_id, path) WHERE start_line <= t_end AND end_line >= t_start""",
     "file_context": _C + " SELECT repo_id, path, count(*) AS n_chunks, md5(string_agg(coalesce(content, ''), '' ORDER BY start_line, chunk_id)) AS md5 FROM (SELECT DISTINCT chunk_id, repo_id, path, start_line, content FROM c) GROUP BY 1, 2",
     "prefix_candidates": _P + " SELECT DISTINCT doc FROM posts WHERE starts_with(term, 'snap')",
     "index_health": _P + """ SELECT count(*) AS n_rows, count(DISTINCT chunk_id) AS n_ids, round(avg(length(content)), 4) AS avg_length, max(length(content)) AS max_length, count(*) FILTER (WHERE content IS NULL OR content = '') AS n_empty,
 (SELECT count(DISTINCT doc) FROM posts) AS n_indexed FROM (SELECT DISTINCT chunk_id, path, content FROM c)""",
-    "path_chunk_ids": "SELECT path, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids, count(*) AS n FROM (SELECT DISTINCT chunk_id, path FROM chunks) GROUP BY 1",
+    "path_chunk_ids": "SELECT repo_id, path, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids, count(*) AS n FROM (SELECT DISTINCT chunk_id, repo_id, path FROM chunks) GROUP BY 1, 2",
+    "content_signature": "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), chunk_id, coalesce(content, chr(30)))), 1, 15) AS BIGINT)::HUGEINT) AS VARCHAR) AS fingerprint FROM (SELECT DISTINCT chunk_id, content FROM chunks)",
     "eval_first_ranks": _GR + " SELECT query_id, category, first_rank FROM ranks",
     "recall_mrr": _GR + " SELECT count(*) AS n_queries, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0 END) * 100, 6) AS recall_at_k, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, round(avg(CASE WHEN first_rank IS NULL THEN 1.0 ELSE 0 END), 6) AS zero_hit_ratio FROM ranks",
     "recall_by_category_grouping_sets": _GR + """ SELECT coalesce(category, '(all)') AS category, coalesce(language, '(all)') AS language, count(*) AS n_queries, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0 END) * 100, 6) AS recall_at_k,

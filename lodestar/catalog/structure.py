@@ -258,15 +258,16 @@ def _rx() -> str:
     return expr
 
 
-_CLASS = _C + """, p0 AS (SELECT DISTINCT repo_id, path, string_split(path, '/') AS parts, lower(split_part(path, '/', -1)) AS name, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM c),
-p AS (SELECT *, list_has_any(parts, ['config', '.github']) OR ext IN ('.toml', '.yaml', '.yml', '.json', '.lock') AS conf FROM p0),
-cls AS (SELECT repo_id, path, ext, CASE WHEN conf AND list_contains(parts, 'contracts') THEN 'contract' WHEN conf THEN 'config' WHEN ext IN ('.md', '.rst', '.txt', '.adoc') OR list_contains(parts, 'docs') THEN 'doc'
+_IN = lambda values: ", ".join(f"'{v}'" for v in values)
+_CLASS = _C + f""", p0 AS (SELECT DISTINCT repo_id, path, string_split(path, '/') AS parts, lower(split_part(path, '/', -1)) AS name, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM c),
+p AS (SELECT *, list_has_any(parts, ['config', '.github', '.wgx']) OR name IN ({_IN(T.CONFIG_NAMES)}) OR ext IN ({_IN(T.CONFIG_EXTENSIONS)}) AS conf FROM p0),
+cls AS (SELECT repo_id, path, ext, CASE WHEN conf AND list_contains(parts, 'contracts') THEN 'contract' WHEN conf THEN 'config' WHEN ext IN ({_IN(T.DOC_EXTENSIONS)}) OR list_contains(parts, 'docs') THEN 'doc'
   WHEN list_contains(parts, 'contracts') THEN 'contract' WHEN list_has_any(parts, ['tests', 'test']) OR name LIKE '%\\_test.py' ESCAPE '\\' OR name LIKE 'test\\_%' ESCAPE '\\' THEN 'test'
-  WHEN ext IN ('.py', '.js', '.ts', '.tsx', '.jsx', '.rs', '.go', '.sh', '.bash', '.sql', '.java', '.c', '.cpp', '.h', '.css', '.html') OR list_has_any(parts, ['src', 'crates', 'scripts']) THEN 'source' ELSE 'other' END AS category,
+  WHEN ext IN ({_IN(T.SOURCE_EXTENSIONS)}) OR list_has_any(parts, ['src', 'crates', 'scripts']) THEN 'source' ELSE 'other' END AS category,
   array_to_string(list_filter([CASE WHEN name LIKE '%.ai-context.yml' THEN 'ai-context' END, CASE WHEN list_contains(parts, '.github') AND list_contains(parts, 'workflows') AND ext IN ('.yml', '.yaml') THEN 'ci' END,
   CASE WHEN list_contains(parts, 'docs') AND list_contains(parts, 'adr') AND ext = '.md' THEN 'adr' END, CASE WHEN starts_with(name, 'runbook') AND ext = '.md' THEN 'runbook' END,
   CASE WHEN list_has_any(parts, ['scripts', 'bin']) AND ext IN ('.sh', '.py') THEN 'script' END, CASE WHEN list_contains(parts, 'export') AND ext = '.jsonl' THEN 'feed' END,
-  CASE WHEN contains(name, 'lock') THEN 'lockfile' END, CASE WHEN name = 'readme.md' THEN 'ai-context' END], lambda x: x IS NOT NULL), ',') AS tags FROM p)"""
+  CASE WHEN contains(name, 'lock') THEN 'lockfile' END, CASE WHEN name = 'readme.md' THEN 'ai-context' END, CASE WHEN list_contains(parts, '.wgx') AND starts_with(name, 'profile') THEN 'wgx-profile' END], lambda x: x IS NOT NULL), ',') AS tags FROM p)"""
 
 SQL = {
     "bfs_distance": _BFS + " SELECT node, distance FROM dist",

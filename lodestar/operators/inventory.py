@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..session import stored
+from .retrieval import row_sum
 
 
 def latest_per_group(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -79,7 +81,31 @@ def ancestor_rollup(files: DataFrame) -> DataFrame:
 def directory_fingerprints(files: DataFrame) -> DataFrame:
     """Order-free hash of each directory's direct entries."""
     d = F.regexp_replace("path", "/?[^/]+$", "")
-    return files.groupBy("sid", d.alias("dir")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("path", "size", "mtime_at")).alias("fingerprint"))
+    return files.groupBy("sid", d.alias("dir")).agg(F.count("*").alias("n"), row_sum("path", "size", "mtime_at").alias("fingerprint"))
+
+
+def recursive_hashes(files: DataFrame, levels: int = 64) -> DataFrame:
+    """(sid, dir, n_entries, hash): hash of a directory from the sorted hashes of its entries, deepest level first.
+
+    Every level is one aggregation over the directories of that depth; files and folders below
+    ``levels`` are not expected in an inventory and raise no error, they only end the climb late.
+    """
+    entry = F.md5(F.concat_ws("\x1f", "name", F.coalesce(F.col("size").cast("string"), F.lit("")), F.coalesce("sum", F.lit(""))))
+    parts = F.split("path", "/")
+    rows = files.select("sid", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("up"), F.element_at(parts, -1).alias("name"), "size", "sum").select("sid", "up", F.struct("name", entry.alias("hash")).alias("e"))
+    rows = stored(rows)
+    depth = min(levels, rows.agg(F.coalesce(F.max(F.size("up")), F.lit(0)).alias("d")).first()["d"])
+    done, below = None, None
+    for d in range(depth, -1, -1):
+        here = rows.where(F.size("up") == d).select("sid", "up", "e")
+        if below is not None:
+            here = here.unionByName(below)
+        dirs = here.groupBy("sid", "up").agg(F.count("*").alias("n_entries"), F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\x1f", "e.name", "e.hash"))), "\x1e")).alias("hash"))
+        dirs = stored(dirs)
+        done = dirs if done is None else done.unionByName(dirs)
+        if d:
+            below = dirs.select("sid", F.slice("up", F.lit(1), F.lit(d - 1)).alias("up"), F.struct(F.element_at("up", -1).alias("name"), "hash").alias("e"))
+    return done.select("sid", F.array_join("up", "/").alias("dir"), "n_entries", "hash")
 
 
 def disk_hotspots(files: DataFrame, k: int = 50) -> DataFrame:

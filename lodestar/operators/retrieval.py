@@ -145,9 +145,9 @@ def round_robin(lanes: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def window_context(chunks: DataFrame, targets: DataFrame) -> DataFrame:
-    """Chunks of a target's path whose lines overlap its interval; hash join on the path."""
-    t = targets.select("path", F.col("start_line").alias("t_start"), F.col("end_line").alias("t_end"))
-    return chunks.join(t, "path").where("start_line <= t_end and end_line >= t_start")
+    """Chunks of a target's file whose lines overlap its interval; hash join on repository and path."""
+    t = targets.select("repo_id", "path", F.col("start_line").alias("t_start"), F.col("end_line").alias("t_end"))
+    return chunks.join(t, ["repo_id", "path"]).where("start_line <= t_end and end_line >= t_start")
 
 
 def file_context(chunks: DataFrame) -> DataFrame:
@@ -170,6 +170,12 @@ def index_health(chunks: DataFrame, posts: DataFrame) -> DataFrame:
     return rows.withColumn("n_indexed", covered.scalar())
 
 
+def row_sum(*columns: str) -> Column:
+    """Sum of 60 bits of each row's MD5: as free of order as an exclusive or, but repeats do not cancel."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns])
+    return F.sum(F.conv(F.substring(F.md5(F.encode(text, "utf-8")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def signature(rows: DataFrame, *columns: str) -> DataFrame:
-    """Order-free fingerprint of a table: count and xor of row hashes, no sort and no collect."""
-    return rows.agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(*columns)).alias("fingerprint"))
+    """Order-free fingerprint of a table: count and sum of row hashes, no sort and no collect."""
+    return rows.agg(F.count("*").alias("n_rows"), row_sum(*columns).alias("fingerprint"))

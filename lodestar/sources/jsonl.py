@@ -52,16 +52,18 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def publish(rows: DataFrame, root: str, generation: str) -> str:
-    """Write a generation beside the others and only then point ``current`` at it.
+    """Write a generation beside the others and only then add a pointer to it.
 
-    A lost job leaves the old pointer; a repeated one writes the same generation again.
+    Pointers are appended, never replaced, and the latest whole one holds: a job that is lost while it
+    writes either leaves the old one in force; a repeated one writes the same generation again.
     """
     spark = rows.sparkSession
     target = f"{root}/generations/{generation}"
     rows.write.mode("overwrite").parquet(target)
-    spark.createDataFrame([(generation, target)], "generation string, path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    pointer = spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("at"), F.lit(generation).alias("generation"), F.lit(target).alias("path"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return target
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{root}/current").first()["path"])
+    return spark.read.parquet(spark.read.parquet(f"{root}/pointers").orderBy(F.desc("at"), F.desc("generation")).first()["path"])
