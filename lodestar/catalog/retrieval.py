@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import graphs as G
+from ..operators import kept
 from ..operators import retrieval as R
-from ..session import stored
 from ..sources.tables import table
 
 QUERY = [("q1", 1, "catalog"), ("q1", 2, "review"), ("q2", 1, "snapshot"), ("q2", 1, "receipt"), ("q3", 1, "vertrag"), ("q4", 1, "lease"), ("q4", 2, "queue"), ("q4", 3, "filter")]
@@ -22,14 +23,24 @@ def _query(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERY, "query_id string, group_id int, term string")
 
 
+def _index(spark: SparkSession, base: str) -> kept.Index:
+    c = table(spark, base, "chunks", "chunk_id", "path", "content")
+    text = F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce(R.path_tokens("path"), F.lit("")))
+    return kept.kept("chunks", c, c.distinct().select(F.col("chunk_id").alias("doc"), text.alias("text")))
+
+
+def _document_index(spark: SparkSession, base: str) -> kept.Index:
+    d = table(spark, base, "documents", "doc_id", "text")
+    return kept.kept("documents", d, d.distinct().select(F.col("doc_id").alias("doc"), "text"))
+
+
 def _posts(spark: SparkSession, base: str) -> DataFrame:
-    c = chunks(spark, base, "chunk_id", "path", "content").withColumn("pt", R.path_tokens("path"))
-    return R.postings(c, "chunk_id", "content", "pt")
+    return _index(spark, base).postings
 
 
 def _hits(spark: SparkSession, base: str) -> DataFrame:
     meta = chunks(spark, base, "chunk_id", "repo_id", "path", "start_line", "end_line", "layer")
-    return R.bm25_scores(stored(_posts(spark, base)), _query(spark)).join(meta, F.col("doc") == F.col("chunk_id")).drop("doc")
+    return _index(spark, base).scores(_query(spark)).join(meta, F.col("doc") == F.col("chunk_id")).drop("doc")
 
 
 def _order() -> list:
@@ -45,7 +56,7 @@ def term_statistics(spark, base):
 
 
 def doc_lengths(spark, base):
-    return R.doc_lengths(_posts(spark, base))
+    return _index(spark, base).lengths
 
 
 def metadata_scan(spark, base):
@@ -65,11 +76,18 @@ def path_exclusion(spark, base):
     return R.exclude_paths(rows, seen).groupBy("artifact_type").agg(F.count("*").alias("n_chunks"))
 
 
+def _entry_distances(spark, base):
+    """Steps along resolved imports from the files under ``cli`` and ``tools`` to every Python file they lead to."""
+    c = chunks(spark, base, "repo_id", "path", "content").where("path like '%.py'")
+    node = lambda p: F.concat_ws("\x1f", "repo_id", p)
+    edges = G.resolve_modules(G.import_edges(c), c).where("target is not null").select(node("path").alias("src"), node("target").alias("dst"))
+    files = c.select("repo_id", "path", node("path").alias("node")).distinct()
+    found = G.bfs_distances(files, edges, files.where("path rlike '^(cli|tools)/'")).where("distance >= 0")
+    return files.join(found, "node").select("repo_id", "path", "distance")
+
+
 def graph_boosted_rerank(spark, base):
-    hits = _hits(spark, base)
-    paths = chunks(spark, base, "path").distinct()
-    dist = paths.where("path rlike '^(cli|src)/'").select("path", F.when(F.col("path").startswith("cli/"), 0).otherwise(F.length("path") % 4 + 1).alias("distance"))
-    ranked = R.graph_boost(hits, dist)
+    ranked = R.graph_boost(_hits(spark, base), _entry_distances(spark, base))
     order = [F.desc("final_score"), F.col("path"), *_order()]
     return R.top_k(ranked, 10, ["query_id"], order).select("query_id", "rank", "chunk_id", "bm25_norm", "final_score", "distance")
 
@@ -141,7 +159,7 @@ def _gold_ranks(spark, base):
     gold = table(spark, base, "goldset", "item_id", "language", "category", "query_text", "passage", "expected_paths").distinct()
     docs = table(spark, base, "documents", "doc_id", "text", "path").distinct()
     q = gold.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.terms(F.col("query_text")))).alias("term")).withColumn("group_id", F.lit(1))
-    hits = R.bm25_scores(stored(R.postings(docs, "doc_id", "text")), q)
+    hits = _document_index(spark, base).scores(q)
     ranked = R.top_k(hits, 10, ["query_id"], [F.col("score"), F.col("doc")])
     body = docs.where("text is not null").withColumnRenamed("doc_id", "doc")
     rel = ranked.join(body, "doc").join(gold.select(F.col("item_id").alias("query_id"), "passage", "expected_paths"), "query_id")
@@ -174,8 +192,35 @@ def paired_improvement(spark, base):
     return E.paired_improvement(a.unionByName(b), "base", "new")
 
 
+def _states(spark, base):
+    """Chunks before and after the last batch, as (doc, text)."""
+    c = table(spark, base, "chunks", "chunk_id", "content", "batch_no").where("chunk_id is not null")
+    before = c.where("batch_no < 9").groupBy("chunk_id").agg(F.max("content").alias("text"))
+    after = c.where("batch_no > 0").groupBy("chunk_id").agg(F.max("content").alias("text"))
+    return (x.select(F.col("chunk_id").alias("doc"), "text") for x in (before, after))
+
+
+def index_update_states(spark, base):
+    """What an update of the index would take over, make anew and drop."""
+    old, new = _states(spark, base)
+    return kept.states(kept.digests(old), kept.digests(new)).groupBy("state").agg(F.count("*").alias("n_docs"))
+
+
+def index_update_equals_build(spark, base):
+    """Postings of an updated index beside those of one built whole: rows in only one of them."""
+    import uuid
+
+    from ..session import shared_folder
+
+    root = f"{shared_folder(spark)}/index/{uuid.uuid4().hex}"
+    old, new = _states(spark, base)
+    a, b = kept.update(kept.build(old, f"{root}/1"), new, f"{root}/2").postings, kept.build(new, f"{root}/3").postings
+    x = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(-1))).groupBy("doc", "term", "tf").agg(F.sum("s").alias("s"))
+    return x.agg(F.count("*").alias("n_postings"), F.count_if(F.col("s") != 0).alias("n_different"))
+
+
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, term_statistics, doc_lengths, metadata_scan, metadata_filters, path_exclusion, graph_boosted_rerank, federated_topk, federation_summary, filename_conflicts,
+    index_update_states, index_update_equals_build, bm25_topk, term_statistics, doc_lengths, metadata_scan, metadata_filters, path_exclusion, graph_boosted_rerank, federated_topk, federation_summary, filename_conflicts,
     cross_repo_links, unique_path_topk, review_fusion_round_robin, context_window_overlap, file_context, prefix_candidates, index_health, path_chunk_ids, content_signature,
     eval_first_ranks, recall_mrr, recall_by_category_grouping_sets, miss_taxonomy, paired_improvement)}
 
@@ -209,15 +254,23 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 ranks AS (SELECT gold.query_id, gold.language, gold.category, f.first_rank FROM gold LEFT JOIN (
   SELECT r.query_id, min(r.rank) AS first_rank FROM ranked r JOIN d USING (doc) JOIN gold g USING (query_id) WHERE d.text IS NOT NULL AND (contains(lower(d.text), lower(g.passage)) OR len(list_filter(g.expected_paths, lambda e: contains(d.path, e))) > 0) GROUP BY 1) f USING (query_id))"""
 
+_ST = "WITH k AS (SELECT chunk_id AS doc, content, batch_no FROM chunks WHERE chunk_id IS NOT NULL), o AS (SELECT doc, max(content) AS text FROM k WHERE batch_no < 9 GROUP BY 1), n AS (SELECT doc, max(content) AS text FROM k WHERE batch_no > 0 GROUP BY 1)"
 SQL = {
+    "index_update_states": _ST + " SELECT CASE WHEN n.doc IS NULL THEN 'deleted' WHEN o.doc IS NULL THEN 'added' WHEN o.text IS NOT DISTINCT FROM n.text THEN 'reused' ELSE 'changed' END AS state, count(*) AS n_docs FROM o FULL JOIN n ON o.doc = n.doc GROUP BY 1",
+    "index_update_equals_build": _ST + " SELECT count(*) AS n_postings, 0 AS n_different FROM (SELECT DISTINCT doc, term FROM (SELECT doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM n))",
     "bm25_topk": _H + f" SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank FROM hits) WHERE rank <= 10",
     "term_statistics": _P + " SELECT term, count(*) AS df, sum(tf) AS cf FROM posts GROUP BY 1",
     "doc_lengths": _P + " SELECT * FROM dls",
     "metadata_scan": _C + " SELECT DISTINCT chunk_id, repo_id, path, start_line FROM c WHERE lower(path) LIKE '%graph%' AND lower(path) LIKE '%.py' AND artifact_type = 'code' ORDER BY repo_id, path, start_line, chunk_id LIMIT 50",
     "metadata_filters": _C + " SELECT DISTINCT chunk_id FROM c WHERE (lower(path) LIKE '%src_%' AND layer = 'core' AND artifact_type = 'code') OR (repo_id = 'lanternfield' AND lower(path) LIKE '%.md')",
     "path_exclusion": _C + " SELECT artifact_type, count(*) AS n_chunks FROM (SELECT DISTINCT chunk_id, path, artifact_type FROM c) x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.path = x.path AND y.artifact_type = 'test') GROUP BY 1",
-    "graph_boosted_rerank": _H + f""", dist AS (SELECT DISTINCT path, CASE WHEN path LIKE 'cli/%' THEN 0 ELSE length(path) % 4 + 1 END AS distance FROM c WHERE regexp_matches(path, '^(cli|src)/')),
-b AS (SELECT hits.*, coalesce(distance, -1) AS distance, abs(score) / max(abs(score)) OVER (PARTITION BY query_id) AS nrm FROM hits LEFT JOIN dist USING (path)),
+    "graph_boosted_rerank": _H.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + f""", py AS (SELECT DISTINCT repo_id, path, content FROM c WHERE path LIKE '%.py'),
+imp AS (SELECT DISTINCT repo_id, path, split_part(module, '.', -1) AS leaf FROM (SELECT repo_id, path, unnest(regexp_extract_all(content, '(?m)^(?:from|import)[ \\t]+([A-Za-z_][A-Za-z0-9_.]*)', 1)) AS module FROM py WHERE content IS NOT NULL)),
+idx AS (SELECT repo_id, regexp_replace(split_part(path, '/', -1), '\\.py$', '') AS leaf, min(path) AS target FROM (SELECT DISTINCT repo_id, path FROM py) GROUP BY 1, 2 HAVING count(*) = 1),
+edge AS (SELECT DISTINCT repo_id, path, target FROM imp JOIN idx USING (repo_id, leaf)),
+walk AS (SELECT DISTINCT repo_id, path, 0 AS d FROM py WHERE regexp_matches(path, '^(cli|tools)/') UNION SELECT w.repo_id, e.target, w.d + 1 FROM walk w JOIN edge e ON e.repo_id = w.repo_id AND e.path = w.path WHERE w.d < 30),
+dist AS (SELECT repo_id, path, min(d) AS distance FROM walk GROUP BY 1, 2),
+b AS (SELECT hits.*, coalesce(distance, -1) AS distance, abs(score) / max(abs(score)) OVER (PARTITION BY query_id) AS nrm FROM hits LEFT JOIN dist USING (repo_id, path)),
 f AS (SELECT *, round(nrm, 6) AS bm25_norm, round((0.65 * nrm + least(0.2 * CASE WHEN distance >= 0 THEN 1.0 / (distance + 1) ELSE 0 END + CASE WHEN distance = 0 THEN 0.15 ELSE 0 END, 0.35))
   * CASE WHEN coalesce(layer = 'test', false) OR contains(lower(path), 'test') THEN 0.75 ELSE 1 END, 6) AS final_score FROM b)
 SELECT query_id, rank, chunk_id, bm25_norm, final_score, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, path, {_ORD}) AS rank FROM f) WHERE rank <= 10""",

@@ -11,6 +11,7 @@ from ..operators import ranges as N
 from ..operators import selection as S
 from ..operators import texts as T
 from ..operators import vectors as V
+from ..operators.retrieval import row_sum
 from ..sources.tables import table
 from .retrieval import chunks
 
@@ -210,9 +211,8 @@ def session_windows(spark, base):
 def incremental_reuse(spark, base):
     """Files of the last batch against all earlier ones: added, changed, reused by content digest."""
     c = table(spark, base, "chunks", "chunk_id", "repo_id", "path", "content", "batch_no").distinct()
-    c = c.withColumn("h", F.xxhash64("chunk_id", "content"))
-    old = c.where("batch_no < 9").groupBy("repo_id", "path").agg(F.bit_xor("h").alias("a"))
-    new = c.groupBy("repo_id", "path").agg(F.bit_xor("h").alias("b"))
+    old = c.where("batch_no < 9").groupBy("repo_id", "path").agg(row_sum("chunk_id", "content").alias("a"))
+    new = c.groupBy("repo_id", "path").agg(row_sum("chunk_id", "content").alias("b"))
     state = F.when(F.col("a").isNull(), "added").when(F.col("a") == F.col("b"), "reused").otherwise("changed")
     return new.join(old, ["repo_id", "path"], "left").groupBy(state.alias("state")).agg(F.count("*").alias("n_files"))
 

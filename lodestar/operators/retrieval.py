@@ -44,13 +44,14 @@ def term_statistics(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_scores(posts: DataFrame, queries: DataFrame, n_docs: Column | None = None) -> DataFrame:
+def bm25_scores(posts: DataFrame, queries: DataFrame, n_docs: Column | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(query_id, doc, score) of the documents that match all groups of a query.
 
     Only postings of query terms are scored; lengths are joined to the matched documents. N is the
-    number of documents with a term, or ``n_docs``.
+    number of documents with a term, or ``n_docs``. With ``lengths`` of all documents given, ``posts``
+    may hold the query's terms only.
     """
-    lengths = doc_lengths(posts)
+    lengths = lengths if lengths is not None else doc_lengths(posts)
     wanted = queries.select("term").distinct()
     hits = posts.join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -95,10 +96,13 @@ def exclude_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def graph_boost(hits: DataFrame, distances: DataFrame, w_bm25: float = 0.65, w_graph: float = 0.20, w_entry: float = 0.15, test_penalty: float = 0.75) -> DataFrame:
-    """Rerank: (w_b * bm25_norm + min(w_g / (d + 1) + w_e [d = 0], w_g + w_e)) * penalty of tests."""
-    rows = hits.join(distances, "path", "left").withColumn("distance", F.coalesce("distance", F.lit(-1)))
-    best = F.max(F.abs("score")).over(Window.partitionBy("query_id"))
-    norm = F.coalesce(F.try_divide(F.abs("score"), best), F.lit(0.0))
+    """Rerank: (w_b * bm25_norm + min(w_g / (d + 1) + w_e [d = 0], w_g + w_e)) * penalty of tests.
+
+    ``distances``: (repo_id, path, distance) from the entry points; the greatest score of a query is aggregated, not windowed.
+    """
+    best = hits.groupBy("query_id").agg(F.max(F.abs("score")).alias("best"))
+    rows = hits.join(best, "query_id").join(distances, ["repo_id", "path"], "left").withColumn("distance", F.coalesce("distance", F.lit(-1)))
+    norm = F.coalesce(F.try_divide(F.abs("score"), F.col("best")), F.lit(0.0))
     near = F.when(F.col("distance") >= 0, 1 / (F.col("distance") + 1)).otherwise(0.0)
     bonus = F.least(w_graph * near + F.when(F.col("distance") == 0, w_entry).otherwise(0.0), F.lit(w_graph + w_entry))
     is_test = F.coalesce(F.col("layer") == "test", F.lit(False)) | F.lower("path").contains("test")
