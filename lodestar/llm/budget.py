@@ -91,24 +91,25 @@ class PieceCounts(dict):
 _MATCHERS: dict[str, LongestMatch] = {}
 
 
-def matcher(path: str) -> LongestMatch:
-    """The matcher of a vocabulary file, built once per process."""
-    from .bpe import load_ranks
-
-    if path not in _MATCHERS:
-        _MATCHERS[path] = LongestMatch(load_ranks(path))
-    return _MATCHERS[path]
+def matcher(name: str, tokens: Iterable[bytes]) -> LongestMatch:
+    """The matcher of a vocabulary, built once per process."""
+    if name not in _MATCHERS:
+        _MATCHERS[name] = LongestMatch(tokens)
+    return _MATCHERS[name]
 
 
 def token_counts(chunks: DataFrame, vocabulary: str) -> DataFrame:
     """One row per chunk: its columns but the content, and n_tokens (null for a null content).
 
-    ``vocabulary`` must be readable on every executor.
+    The file ``vocabulary`` is read by the driver; its tokens, a bounded number, are broadcast.
     """
+    from .bpe import load_ranks
+
+    tokens = chunks.sparkSession.sparkContext.broadcast(list(load_ranks(vocabulary)))
     keep = [c for c in chunks.columns if c != "content"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = PieceCounts(matcher(vocabulary)).__getitem__
+        look = PieceCounts(matcher(vocabulary, tokens.value)).__getitem__
         for b in batches:
             n = [None if t is None else sum(map(look, PIECES.findall(t))) for t in b["content"]]
             yield b.drop(columns="content").assign(n_tokens=pd.array(n, dtype="Int64"))
