@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 def first_fit(candidates: DataFrame, request: str, budget: int) -> DataFrame:
     """First fit in the order (priority, tokens, id): what does not fit is passed over, later ones may still fit.
 
-    Candidates of one request are few by nature; they are folded as one sorted array in the JVM.
+    Within a priority the items come by size, so once one does not fit no later one of it does: only the
+    head of each priority whose running sum is within the budget can be taken. The heads, bounded by the
+    budget, are folded as one sorted array in the JVM. Items without a size are never taken.
     """
+    w = Window.partitionBy(request, "priority").orderBy("tokens", "id").rowsBetween(Window.unboundedPreceding, 0)
+    candidates = candidates.where(F.col("tokens") <= budget).withColumn("_sum", F.sum("tokens").over(w)).where(F.col("_sum") <= budget).drop("_sum")
     items = F.array_sort(F.collect_list(F.struct("priority", "tokens", "id")))
     zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("ids"))
 

@@ -18,6 +18,9 @@ def test_inventory_last_line_holds_and_publish(spark, tmp_path):
     jsonl.publish(inv, str(tmp_path / "out"), "g1")
     jsonl.publish(inv.limit(0), str(tmp_path / "out"), "g2")
     assert jsonl.current(spark, str(tmp_path / "out")).count() == 0
+    # a job that is lost before its pointer is whole leaves the last one in force
+    (tmp_path / "out/generations/g3").mkdir()
+    assert jsonl.current(spark, str(tmp_path / "out")).count() == 0
 
 
 def test_scan(spark, tmp_path):
