@@ -4,27 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import kept
 from ..operators import paths as P
 from ..operators import pycode as G
 from ..operators.retrieval import file_context
 from ..session import stored
+from ..sources.tables import table
 from .retrieval import chunks
 
 
+def _source(spark, base):
+    return table(spark, base, "chunks", "chunk_id", "repo_id", "path", "start_line", "content")
+
+
 def _files(spark, base):
-    c = chunks(spark, base, "chunk_id", "repo_id", "path", "start_line", "content").where("path like '%.py'")
-    return stored(file_context(c).select("repo_id", "path", "content"))
+    c = _source(spark, base)
+    return kept.kept_table("python-files", c, lambda: file_context(c.distinct().where("path like '%.py'")).select("repo_id", "path", "content"))
+
+
+def _facts(spark, base):
+    return kept.kept_table("python-facts", _source(spark, base), lambda: G.facts(_files(spark, base)))
 
 
 def _graph(spark, base):
-    files = _files(spark, base)
-    fact = stored(G.facts(files))
-    return files, fact, G.resolve_calls(fact, files)
+    """Files, facts and resolved calls, each made once per state of the chunks."""
+    files, fact = _files(spark, base), _facts(spark, base)
+    return files, fact, kept.kept_table("python-calls", _source(spark, base), lambda: G.resolve_calls(fact, files))
 
 
 def python_imports(spark, base):
-    files = _files(spark, base)
-    return G.import_edges(G.facts(files), files)
+    return G.import_edges(_facts(spark, base), _files(spark, base))
 
 
 def python_calls(spark, base):
@@ -45,7 +54,7 @@ def python_callees(spark, base):
 
 
 def python_entry_points(spark, base):
-    return G.facts(_files(spark, base)).where("kind = 'entry'").select("repo_id", "path", "line").distinct()
+    return _facts(spark, base).where("kind = 'entry'").select("repo_id", "path", "line").distinct()
 
 
 def python_references(spark, base):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from ..operators import evaluation as E
 from ..operators import graphs as G
+from ..operators import kept
 from ..operators import ranges as N
 from ..operators import selection as S
 from ..operators import texts as T
@@ -43,8 +44,10 @@ def module_resolution(spark, base):
 
 
 def _calls(spark, base):
-    c = chunks(spark, base, "repo_id", "path", "chunk_id", "content")
-    return G.call_sites(c), G.definitions(c)
+    """Call sites and definitions, extracted once per state of the chunks."""
+    c = table(spark, base, "chunks", "repo_id", "path", "chunk_id", "content")
+    calls = kept.kept_table("call-sites", c, lambda: G.call_sites(c.distinct()))
+    return calls, kept.kept_table("definitions", c, lambda: G.definitions(c.distinct()))
 
 
 def symbol_definitions(spark, base):
@@ -181,10 +184,7 @@ def report_parts(spark, base):
 def bounded_sources(spark, base):
     """Files of a repository in order while their bytes together stay under the bound."""
     c = chunks(spark, base, "repo_id", "path", "chunk_id", "content").groupBy("repo_id", "path").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
-    from pyspark.sql import Window
-
-    run = F.sum("bytes").over(Window.partitionBy("repo_id").orderBy("path"))
-    return c.withColumn("running", run).where("running <= 20000").select("repo_id", "path", "running")
+    return S.running_before(c, "repo_id", ["path"], "bytes").withColumn("running", F.col("before") + F.col("bytes")).where("running <= 20000").select("repo_id", "path", "running")
 
 
 def precision_recall_multiset(spark, base):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import counted, stored
 
 
 def bfs_distances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, most_levels: int | None = None) -> DataFrame:
@@ -19,12 +19,12 @@ def bfs_distances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, most_lev
     level is written to the shared folder. Ends when a level is empty.
     """
     edges = stored(edges.select("src", "dst").distinct())
-    reached = stored(roots.select("node").distinct().withColumn("distance", F.lit(0)))
+    reached, found = counted(roots.select("node").distinct().withColumn("distance", F.lit(0)))
     frontier, level = reached, 0
-    while not frontier.isEmpty() and (most_levels is None or level < most_levels):
+    while found and (most_levels is None or level < most_levels):
         level += 1
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = stored(step.join(reached, "node", "left_anti").withColumn("distance", F.lit(level)))
+        frontier, found = counted(step.join(reached, "node", "left_anti").withColumn("distance", F.lit(level)))
         reached = reached.unionByName(frontier)
     return nodes.select("node").distinct().join(reached, "node", "left").select("node", F.coalesce("distance", F.lit(-1)).alias("distance"))
 

@@ -3,8 +3,8 @@
 Tables of a generation: ``docs`` (doc, digest), ``postings`` (doc, term, tf; ranges of terms, sorted, so
 that a filter on terms reads only their row groups) and ``lengths`` (doc, dl). A generation is written
 whole and then named by an appended pointer, as ``sources.jsonl.publish`` does; a job that is lost
-leaves the one before in force. The fingerprint of a source is that of its files (name, size, time):
-an unchanged source is answered without reading it. Texts are digested, so an update splits documents
+leaves the one before in force. The fingerprint of a source is that of its files (name, size, time)
+and of the code: an unchanged source is answered without reading it. Texts are digested, so an update splits documents
 into reused, changed, added and deleted, and only changed and added ones are cut into terms.
 
 Defined cases: null texts count as empty and have a digest of their own; repeated rows count once; an
@@ -13,7 +13,9 @@ empty source is an empty index.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from . import retrieval as R
 
-FORMAT = "1"  # raised when the form of the tables changes
 FEW_TERMS = 1_000
 
 
@@ -47,12 +48,18 @@ class Index:
         return R.bm25_scores(self.of_terms(queries), queries, lengths=self.lengths)
 
 
+def _code() -> str:
+    """Of the operators' own text: what other code has made is made anew."""
+    here = Path(__file__).parent
+    return hashlib.md5(b"".join(p.read_bytes() for p in sorted(here.glob("*.py")))).hexdigest()[:12]
+
+
 def fingerprint(source: DataFrame, *config: str) -> str:
-    """Of the files under a table and the settings of the index."""
+    """Of the files under a table, the settings and the code."""
     files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     text = F.concat_ws("|", "file_path", F.col("file_size").cast("string"), F.col("file_modification_time").cast("string"))
     row = files.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("s")).first()
-    return "-".join([FORMAT, *config, str(row["n"]), row["s"] or "0"])
+    return "-".join([_code(), *config, str(row["n"]), row["s"] or "0"])
 
 
 def _write(docs: DataFrame, postings: DataFrame, path: str) -> Index:
@@ -97,3 +104,15 @@ def kept(name: str, source: DataFrame, docs: DataFrame) -> Index:
         build(docs, root)
         spark.range(1).write.mode("overwrite").parquet(f"{root}/whole")
     return Index.at(spark, root)
+
+
+def kept_table(name: str, source: DataFrame, make, *config: str) -> DataFrame:
+    """``make()`` as a table of the shared folder, made anew only if the files of ``source`` or the settings have changed."""
+    spark = source.sparkSession
+    root = f"{shared_folder(spark)}/kept/{name}-{fingerprint(source, *config)}"
+    try:
+        spark.read.parquet(f"{root}/whole").first()
+    except AnalysisException:
+        make().write.mode("overwrite").parquet(f"{root}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{root}/whole")
+    return spark.read.parquet(f"{root}/rows")

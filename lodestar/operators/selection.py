@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, stored
+
 
 def first_fit(candidates: DataFrame, request: str, budget: int) -> DataFrame:
     """First fit in the order (priority, tokens, id): what does not fit is passed over, later ones may still fit.
@@ -51,8 +53,22 @@ def weighted_greedy(candidates: DataFrame, request: str, tokens: int, n_bytes: i
     return candidates.groupBy(request).applyInPandas(pick, f"{request} {kind}, pos int, id string, tokens long")
 
 
+def running_before(rows: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
+    """Adds ``before``: the sum of ``size`` over the rows of the group that come earlier in a total order.
+
+    Two levels, so that a group with a third of all rows is not one task: rows are cut into ranges of
+    (group, order), each range sums up its own rows, and only the sums of the ranges run over the group.
+    """
+    ranges = stored(rows.repartitionByRange(F.col(group), *[F.col(o) for o in order]).withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy(group, "_range").agg(F.sum(size).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = ranges.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    x = x.join(broadcast_if_small(starts), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return x.withColumn("before", F.col("_start") + F.col("_own")).drop("_range", "_r", "_group", "_start", "_own")
+
+
 def split_by_size(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """Part number of each row when parts are cut by accumulated size."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return rows.withColumn("part", F.floor(before / most).cast("int") + 1)
+    return running_before(rows, group, [order], size).withColumn("part", F.floor(F.col("before") / most).cast("int") + 1).drop("before")

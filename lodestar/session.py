@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows were written, counted on the way."""
+    seen = Observation()
+    table = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
 def broadcast_if_small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Narrow key rows, marked for broadcast only if a count proves that they are few; else as they are."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
