@@ -47,7 +47,7 @@ BUCKET_RECORDS, PAIRS_AT_ONCE = 4_000_000, 2_000_000
 WORDS = re.compile(r"\w+")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOCAL, _KEY, _SLOT = np.uint64(24), np.uint64(40), np.uint64(46)
-SLOTS = 1 << 18
+SLOTS, PARTS = 1 << 18, 32
 STORED, PROBE, HOT_KEY, HOT_STORED, HOT_PROBE = range(5)
 
 ROWS = "cid long, batch int, n int, n_words int, need int, sketch array<long>, repeats boolean, words binary"
@@ -310,24 +310,33 @@ def _within(pairs: DataFrame, rows: DataFrame, share: float) -> DataFrame:
 
 
 def sequence_counts(noted: DataFrame) -> np.ndarray:
-    """How many sequences of the noted texts fall into each of SLOTS hash slots: an order of rarity of fixed size."""
+    """How many sequences of the noted texts fall into each of SLOTS hash slots: an order of rarity of fixed size.
+
+    Each task sends its table in PARTS pieces, and equal pieces are added up by one task each.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for b in batches:
             slots = [(_grams(w, 3) >> _SLOT).astype(np.int64) for w in _words(b)]
             total += np.bincount(np.concatenate([np.zeros(0, np.int64), *slots]), minlength=SLOTS)
-        yield pd.DataFrame({"c": [total.tobytes()]})
+        if total.any():
+            yield pd.DataFrame({"part": np.arange(PARTS, dtype=np.int32), "c": [x.tobytes() for x in np.split(total, PARTS)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for c in b["c"]:
-                total += np.frombuffer(c, dtype=np.int64)
-        yield pd.DataFrame({"c": [total.tobytes()]})
-
-    rows = noted.select("words").mapInPandas(count, "c binary").repartition(8).mapInPandas(add, "c binary").collect()
-    return np.sum([np.zeros(SLOTS, dtype=np.int64), *(np.frombuffer(r["c"], dtype=np.int64) for r in rows)], axis=0)
+            for part, c in zip(b["part"].tolist(), b["c"]):
+                c = np.frombuffer(c, dtype=np.int64)
+                sums[part] = sums[part] + c if part in sums else c
+        yield pd.DataFrame({"part": pd.Series(list(sums), dtype="int32"), "c": [c.tobytes() for c in sums.values()]})
+
+    tables = noted.select("words").mapInPandas(count, "part int, c binary")
+    rows = tables.repartitionById(PARTS, F.col("part")).mapInPandas(add, "part int, c binary").collect()
+    out = np.zeros((PARTS, SLOTS // PARTS), dtype=np.int64)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["c"], dtype=np.int64)
+    return out.reshape(-1)
 
 
 def _prefix_pairs(sides: DataFrame, rows: DataFrame, buckets: int, share: float) -> DataFrame:
