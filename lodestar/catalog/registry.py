@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("integrity", "retrieval", "inventory", "structure", "streams", "paths", "evidence", "pycode", "planning")
+MODULES = ("integrity", "retrieval", "inventory", "structure", "streams", "paths", "evidence", "pycode", "planning", "structures")
 
 
 def _merged(what: str) -> dict:

@@ -159,3 +159,14 @@ def test_fingerprint_sees_repeats(spark):
     rows = lambda xs: spark.createDataFrame([(x,) for x in xs], "a string")
     f = lambda xs: R.signature(rows(xs), "a").first().fingerprint
     assert f("aab") != f("bcc") and f("ab") == f("ba") and len({f(x) for x in itertools.chain(["a", "aa", "aaa"])}) == 3
+
+
+def test_structures(spark):
+    from lodestar.operators import structures as X
+
+    files = spark.createDataFrame([("r", "a.sh", "run() {\n  x\n}\nfunction b:c () {\n# no() is named\n"), ("r", "b.rs", 'pub async fn go() {}\n// fn not()\nlet s = "\\n fn no() //";\npub(crate) struct S;\n'), ("r", "n.sh", None)], "repo_id string, path string, content string")
+    assert {(r.line_no, r.name) for r in X.bash_functions(files).collect()} == {(1, "run"), (4, "b:c")}
+    assert {(r.line_no, r.kind, r.name) for r in X.rust_items(files).collect()} == {(1, "fn", "go"), (4, "struct", "S")}
+    e = lambda xs: spark.createDataFrame(xs, "src string, dst string")
+    q = X.edge_quality(e([("a", "b"), ("a", "c")]), e([("c", "a"), ("x", "x")]), e([("a", "b"), ("c", "a")])).first()
+    assert (q.n_expected, q.n_found, q.recall, q.n_forbidden) == (2, 1, 0.5, 1)
