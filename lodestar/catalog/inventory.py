@@ -84,7 +84,7 @@ def directory_fingerprints(spark, base):
 
 
 def disk_hotspots(spark, base):
-    return I.disk_hotspots(_held(spark, base)).where("kind = 'largest'")
+    return I.disk_hotspots(_held(spark, base))
 
 
 def extension_histogram(spark, base):
@@ -147,7 +147,9 @@ FROM h b LEFT JOIN h a ON a.root = b.root AND a.path = b.path AND a.seq = b.seq
 UNION ALL SELECT a.path, a.next_sid, 'DELETED' FROM h a WHERE a.next_sid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h b WHERE b.root = a.root AND b.path = a.path AND b.seq = a.seq + 1)""",
     "ancestor_rollup": _H + """, p AS (SELECT sid, size, string_split(path, '/') AS parts FROM h), a AS (SELECT sid, size, parts, unnest(range(len(parts))) AS i FROM p)
 SELECT sid, array_to_string(parts[1:i], '/') AS dir, count(*) AS n_files, sum(size) AS n_bytes FROM a GROUP BY 1, 2""",
-    "disk_hotspots": _H + " SELECT 'largest' AS kind, sid, path, size FROM h ORDER BY size DESC, sid, path LIMIT 50",
+    "directory_fingerprints": _H + """ SELECT sid, regexp_replace(path, '/?[^/]+$', '') AS dir, count(*) AS n,
+CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), path, coalesce(CAST(size AS VARCHAR), chr(30)), coalesce(CAST(m AS VARCHAR), chr(30)))), 1, 15) AS BIGINT)::HUGEINT) AS VARCHAR) AS fingerprint FROM h GROUP BY 1, 2""",
+    "disk_hotspots": _H + " (SELECT 'largest' AS kind, sid, path, size FROM h ORDER BY size DESC NULLS LAST, sid, path LIMIT 50) UNION ALL (SELECT 'oldest', sid, path, size FROM h WHERE m IS NOT NULL ORDER BY m, sid, path LIMIT 50)",
     "extension_histogram": "SELECT ext, count(*) AS n, sum(size_bytes) AS bytes, count(*) FILTER (WHERE is_text) AS n_text FROM (SELECT DISTINCT ON (entry_id) entry_id, ext, size_bytes, is_text FROM files) GROUP BY 1",
     "span_ranking": """SELECT path, CASE WHEN a = b THEN a END AS repo_id, n_chunks, first_line, last_line FROM (SELECT path, count(*) AS n_chunks, min(start_line) AS first_line, max(end_line) AS last_line, min(repo_id) AS a, max(repo_id) AS b
 FROM (SELECT DISTINCT chunk_id, repo_id, path, start_line, end_line FROM chunks) GROUP BY 1) ORDER BY n_chunks DESC, last_line - first_line DESC, repo_id NULLS FIRST, path LIMIT 30""",

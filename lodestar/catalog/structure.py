@@ -290,6 +290,7 @@ SELECT repo_id, path, count(DISTINCT callee) AS n_callees, count(DISTINCT target
     + "u AS (SELECT repo_id, path, a_start, a_end, sum(\"end\" - start + 1) AS covered FROM " + _isl("m", "repo_id, path, a_start, a_end", "s", "e") + " GROUP BY 1, 2, 3, 4) "
     + "SELECT repo_id, path, a_start, a_end, coalesce(covered, 0) AS covered, round(coalesce(covered, 0) / (a_end - a_start + 1), 6) AS ratio FROM t LEFT JOIN u USING (repo_id, path, a_start, a_end)",
     "interval_islands": _C + ", k AS (SELECT DISTINCT repo_id, path, start_line, end_line FROM c) SELECT * FROM " + _isl("k", "repo_id, path", "start_line", "end_line"),
+    "byte_to_line": "SELECT DISTINCT chunk_id, CAST(1 + len(CAST(encode(content)[1:200] AS VARCHAR)) - len(replace(CAST(encode(content)[1:200] AS VARCHAR), '\\x0A', '\\x0')) AS BIGINT) AS line FROM chunks WHERE content IS NOT NULL",
     "content_verification": """WITH x AS (SELECT DISTINCT chunk_id, content, nullif(regexp_replace(lower(trim(content_sha256)), '^[a-z0-9-]+:', ''), '') AS w, size_bytes FROM chunks)
 SELECT CASE WHEN content IS NULL THEN 'no_content' WHEN w IS NULL THEN 'no_digest' WHEN w = sha256(content) THEN 'ok' ELSE 'mismatch' END AS content_status,
 CASE WHEN size_bytes IS NULL OR content IS NULL THEN 'unknown' WHEN size_bytes = strlen(content) THEN 'ok' ELSE 'mismatch' END AS size_status, count(*) AS n FROM x GROUP BY 1, 2""",
