@@ -68,9 +68,12 @@ def _number(t: str) -> bool:
 
 
 # --- JSON
+_JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
+
+
 def _json(t: str) -> str:
     if t[0] == '"':
-        return BAD if len(t) < 2 or re.search(r'[\x00-\x1f]|\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})', t) else "STR"
+        return "STR" if _JSON_STRING.fullmatch(t) else BAD
     if t in ("true", "false", "null"):
         return "WORD"
     return "NUM" if re.fullmatch(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", t) else BAD

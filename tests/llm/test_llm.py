@@ -141,6 +141,12 @@ def test_parsers(ext):
     assert [t for t in bad if lang.first_error(t) is None] == []
 
 
+def test_json_escapes_are_read_in_pairs():
+    first = lexers.language(".json").first_error
+    assert first(r'{"\\0": "C:\\\\q", "x": "\u00e9\n"}') is None
+    assert first(r'{"\0": 1}') == 1 and first(r'["\\\q"]') == 1 and first('["a\tb"]') == 1 and first('"') == 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=8), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=4), c, max_size=3), max_leaves=12), st.integers(0, 200))
 def test_json_against_the_standard_parser(value, cut):
