@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,25 +33,48 @@ def first_fit(candidates: DataFrame, request: str, budget: int) -> DataFrame:
 
 
 def weighted_greedy(candidates: DataFrame, request: str, tokens: int, n_bytes: int, diversity: float = 0.1) -> DataFrame:
-    """Repeatedly the best remaining item by relevance less a share per item already taken from its source."""
+    """Repeatedly the best remaining item by relevance less a share per item already taken from its source.
+
+    Ties go to fewer tokens, then to the greater id. Scores only fall, so a heap gives the best item and only what
+    comes up with an outdated score is put back. Of items of one size at most as many as fill a budget are taken:
+    one is left out before if so many others come before it in any case (with their score after all that may come
+    first from their source), so a request's task holds a number of items that the budgets bound. Sizes are not
+    negative; items without a size are never taken, those without a relevance come last.
+    """
+    if diversity < 0:
+        raise ValueError("diversity must not be negative")
+    low = F.lit(float("-inf"))
+    c = candidates.where((F.col("tokens") <= tokens) & (F.col("bytes") <= n_bytes)).withColumn("relevance", F.coalesce(F.nanvl(F.col("relevance").cast("double"), low), low))
+    fill = F.least(F.when(F.col("tokens") > 0, F.floor(F.lit(tokens) / F.col("tokens"))), F.when(F.col("bytes") > 0, F.floor(F.lit(n_bytes) / F.col("bytes"))))
+    before = F.count(F.lit(1)).over(Window.partitionBy(request, "source").orderBy(F.round("relevance", 9).desc())) - 1
+    c = c.withColumn("_least", F.col("relevance") - F.lit(float(diversity)) * before)
+    same = Window.partitionBy(request, "tokens", "bytes")
+    c = c.withColumn("_at", F.row_number().over(same.orderBy(F.col("_least").desc())))
+    c = c.withColumn("_bar", F.max(F.when(F.col("_at") == fill, F.col("_least"))).over(same)).where("_bar is null or relevance >= _bar").drop("_least", "_at", "_bar")
 
     def pick(batch: pd.DataFrame) -> pd.DataFrame:
-        left = batch.sort_values(["relevance", "id"], ascending=[False, True]).to_dict("records")
+        b = batch.sort_values("id", ascending=False, ignore_index=True)
+        relevance, sizes, n, source, ids = (b[x].tolist() for x in ("relevance", "tokens", "bytes", "source", "id"))
+        heap = [(-r, t, i, 0) for i, (r, t) in enumerate(zip(relevance, sizes))]
+        heapq.heapify(heap)
         used_t = used_b = 0
-        taken: list[dict] = []
+        taken: list[int] = []
         seen: dict[str, int] = {}
-        while left:
-            best = max(left, key=lambda x: (x["relevance"] - diversity * seen.get(x["source"], 0), -x["tokens"], x["id"]))
-            left.remove(best)
-            if used_t + best["tokens"] > tokens or used_b + best["bytes"] > n_bytes:
+        while heap:
+            _, t, i, scored = heapq.heappop(heap)
+            if used_t + t > tokens or used_b + n[i] > n_bytes:
+                continue
+            now = seen.get(source[i], 0)
+            if now != scored:
+                heapq.heappush(heap, (-(relevance[i] - diversity * now), t, i, now))
                 continue
-            used_t, used_b = used_t + best["tokens"], used_b + best["bytes"]
-            seen[best["source"]] = seen.get(best["source"], 0) + 1
-            taken.append({request: best[request], "pos": len(taken), "id": best["id"], "tokens": best["tokens"]})
-        return pd.DataFrame(taken, columns=[request, "pos", "id", "tokens"])
+            used_t, used_b = used_t + t, used_b + n[i]
+            seen[source[i]] = now + 1
+            taken.append(i)
+        return pd.DataFrame({request: b[request].iloc[taken].to_numpy(), "pos": range(len(taken)), "id": [ids[i] for i in taken], "tokens": [sizes[i] for i in taken]}, columns=[request, "pos", "id", "tokens"])
 
     kind = candidates.schema[request].dataType.simpleString()
-    return candidates.groupBy(request).applyInPandas(pick, f"{request} {kind}, pos int, id string, tokens long")
+    return c.groupBy(request).applyInPandas(pick, f"{request} {kind}, pos int, id string, tokens long")
 
 
 def running_before(rows: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
